@@ -87,16 +87,11 @@ def series_history(spark, d):
     return pl.prepare_series(rows, C6, W6)
 
 
-def fitted_history(spark, d):
-    # The imputed history is one row per month and is read by every fit.
-    return series_history(spark, d).persist()
-
-
 @query("fc_series_gbt", """SELECT s.series, CAST(24 AS BIGINT) AS n_future, (SELECT COUNT(DISTINCT month(start_date)) FROM passenger_weekly WHERE year(start_date) = 2000) AS n_eval,
   CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS missing FROM (VALUES ('af'), ('nf')) s(series)""")
 def fc_series_gbt(spark, d):
     series = ["af", "nf"]
-    out = pl.series_forecast(fitted_history(spark, d), series, W6, 2000, "2002-01-01", "2003-12-01", [SMALL])
+    out = pl.series_forecast(series_history(spark, d), series, W6, 2000, "2002-01-01", "2003-12-01", [SMALL])
     held = F.col("forecast") / 1.1
     outside = (held < F.col("low") - 1e-6) | (held > F.col("high") + 1e-6)
     ahead = out.forecast.groupBy("series").agg(
@@ -110,13 +105,13 @@ def fc_series_gbt(spark, d):
 SELECT year, COUNT(*) AS n, COUNT(*) AS n_af, COUNT(*) AS n_tmax FROM h GROUP BY year
 UNION ALL SELECT CAST(y AS INT), CAST(12 AS BIGINT), CAST(12 AS BIGINT), CAST(12 AS BIGINT) FROM (SELECT unnest(range(2002, 2004)) AS y)""")
 def fc_history_union(spark, d):
-    out = pl.series_forecast(fitted_history(spark, d), C6, W6, 2000, "2002-01-01", "2003-12-01", [SMALL], mode="pooled")
+    out = pl.series_forecast(series_history(spark, d), C6, W6, 2000, "2002-01-01", "2003-12-01", [SMALL], mode="pooled")
     return out.combined.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("af").alias("n_af"), F.count("tmax").alias("n_tmax"))
 
 
 @query("cv_grid_search")
 def cv_grid_search(spark, d):
-    history = with_positions(fitted_history(spark, d).filter(F.col("year") < 2000), [], ["month_start"], F.year("month_start"))
+    history = with_positions(series_history(spark, d).filter(F.col("year") < 2000), [], ["month_start"], F.year("month_start"))
     grid = fc.param_grid(n_estimators=[3], max_depth=[2, 3])
     best, scores = fc.time_series_cv(history, [*W6, "year", "month"], "af", "position", 2, grid)
     rows = [(p.n_estimators, p.learning_rate, p.max_depth, fold, mse, p == best) for p, fold, mse in scores]
@@ -151,7 +146,7 @@ def eval_actual_vs_pred(spark, d):
     return ev.actual_vs_predicted(wide, ["month_start"], {c: (c, f"{c}_p") for c in ("af", "nf")})
 
 
-ADJUST_KEY = "('42|' || series || '|' || CAST(month_start AS VARCHAR))"
+ADJUST_KEY = "('42|' || n.series || '|' || CAST(n.month_start AS VARCHAR))"
 
 
 @query("fc_season_adjust", f"""WITH {NAIVE_SQL},
@@ -199,7 +194,7 @@ MONTH_HASH = "('0x' || substr(md5('42|' || CAST(year AS VARCHAR) || '|' || CAST(
 SELECT COUNT(*) FILTER ({MONTH_HASH} % 100 >= 20) AS n_train, COUNT(*) FILTER ({MONTH_HASH} % 100 < 20) AS n_test, CAST(0 AS BIGINT) AS bad,
   CAST(5 AS BIGINT) AS report_rows, CAST(COUNT(*) FILTER ({MONTH_HASH} % 100 < 20) AS DOUBLE) AS support FROM m""")
 def clf_random_forest(spark, d):
-    out = pl.segment_and_classify(fitted_history(spark, d), C6, W6, ["year", "month"], stratified=False)
+    out = pl.segment_and_classify(series_history(spark, d), C6, W6, ["year", "month"], stratified=False)
     n_all = out.labelled.agg(F.count(F.lit(1)).alias("n_all"))
     test = out.test.agg(F.count(F.lit(1)).alias("n_test"), F.sum((~F.col("prediction").isin(0, 1)).cast("bigint")).alias("bad"))
     report = out.report.agg(F.count(F.lit(1)).alias("report_rows"), F.max("support").alias("support"))

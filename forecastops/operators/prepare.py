@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from forecastops.operators.aggregates import group_keyed
 from forecastops.operators.joins import calendar_side
 from forecastops.operators.quantiles import exact_quantiles
 
+MAX_SEASONS = 366
+
 
 def reshape_hourly(df: DataFrame, vehicles: Sequence[str], date: str = "date", time: str = "time",
                    facility: str = "facility") -> DataFrame:
@@ -48,47 +51,94 @@ def hourly_by_facility(df: DataFrame, sums: Sequence[str], means: Sequence[str]
         weekday_monday0(ts).alias("day_of_week"), time_text(ts).alias("time"))
 
 
-def _wide_medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str) -> DataFrame:
-    """Exact medians of many columns per group, computed together on the long form."""
+def _wide_medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str, monthly: bool) -> DataFrame:
+    """Exact medians of many columns per group, computed together.
+
+    A monthly table is bounded by the calendar and uses the built-in median. Otherwise the columns are
+    stacked and the quantiles of all of them come from one pass that no group can overload.
+    """
+    if monthly:
+        return df.groupBy(*by).agg(*[F.median(c).alias(f"{c}{suffix}") for c in cols])
     long = df.select(*by, *cols).unpivot(list(by), list(cols), "__col", "__val")
     medians = exact_quantiles(long, [*by, "__col"], "__val", {"__q": 0.5})
     wide = [F.max(F.when(F.col("__col") == c, F.col("__q"))).alias(f"{c}{suffix}") for c in cols]
     return medians.groupBy(*by).agg(*wide)
 
 
-def impute_seasonal(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str = "median",
-                    zero_is_missing: bool = True, fit_filter: Column | None = None) -> DataFrame:
-    """Fill missing values with the statistic of their season, then with that of the filled column.
+@dataclass(frozen=True)
+class SeasonalImputer:
+    """Fill values per season and column, plus one overall value per column.
+
+    The table of seasons is as small as the calendar part it is keyed by, so filling is a lookup in a
+    literal map: no join and no shuffle.
+    """
 
-    ``by`` is a calendar part, so the season table has at most a few dozen rows. ``fit_filter`` limits the
-    rows the statistics are taken from (all rows by default, hold-out included).
+    by: str
+    seasons: Mapping[str, Mapping[object, float]]
+    overall: Mapping[str, float]
+    zero_is_missing: bool
+
+    def _base(self, df: DataFrame) -> DataFrame:
+        def clean(c):
+            value = F.col(c).cast("double")
+            return (zero_to_null(value) if self.zero_is_missing else value).alias(c)
+
+        return df.select([clean(c) if c in self.seasons else F.col(c) for c in df.columns])
+
+    def _season_value(self, c: str) -> Column:
+        known = self.seasons[c]
+        if not known:
+            return F.lit(None).cast("double")
+        pairs = [x for season, value in known.items() for x in (F.lit(season), F.lit(value))]
+        return F.try_element_at(F.create_map(*pairs), F.col(self.by))
+
+    def fill_seasons(self, df: DataFrame) -> DataFrame:
+        """The first step alone: seasonal values only."""
+        base = self._base(df)
+        return base.select([F.coalesce(F.col(c), self._season_value(c)).alias(c) if c in self.seasons else F.col(c)
+                            for c in base.columns])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        filled = self.fill_seasons(df)
+        return filled.select([F.coalesce(F.col(c), F.lit(self.overall[c])).alias(c) if self.overall.get(c) is not None
+                              else F.col(c) for c in filled.columns])
+
+
+def fit_seasonal_imputer(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str = "median",
+                         zero_is_missing: bool = True, fit_filter: Column | None = None,
+                         monthly: bool = False) -> SeasonalImputer:
+    """Learn the fill values: the statistic of each season, then that of the seasonally filled column.
+
+    ``by`` is a calendar part of at most 366 values. ``fit_filter`` limits the rows the statistics are taken
+    from (all rows by default, hold-out included). ``monthly`` says that the table has one row per month.
+    The overall statistic takes a second pass, made only for columns in which some season has no value.
     """
     cols = list(cols)
-    typed = {c: F.col(c).cast("double") for c in cols}
-    base = df.select([(zero_to_null(typed[c]) if zero_is_missing else typed[c]).alias(c) if c in cols else F.col(c)
-                      for c in df.columns])
-    fit = base.filter(fit_filter) if fit_filter is not None else base
-
-    if stat == "median":
-        season = _wide_medians(fit, [by], cols, "__s")
-    else:
-        season = fit.groupBy(by).agg(*[F.avg(c).alias(f"{c}__s") for c in cols])
-
-    def fill(rows):
-        known = season.withColumnRenamed(by, "__by")
-        joined = rows.join(calendar_side(known), rows[by].eqNullSafe(known["__by"]), "left")
-        # A missing season value belongs to no group and is not filled from one.
-        picked = {c: F.coalesce(F.col(c), F.when(F.col(by).isNotNull(), F.col(f"{c}__s"))) for c in cols}
-        return joined.select([picked[c].alias(c) if c in cols else F.col(c) for c in rows.columns])
-
-    filled, fit_filled = fill(base), fill(fit)
-    if stat == "median":
-        overall = _wide_medians(fit_filled, [], cols, "")
-    else:
-        overall = fit_filled.agg(*[F.avg(c).alias(c) for c in cols])
-    one = overall.select(F.struct(*cols).alias("s")).scalar()
-    return (filled.withColumn("__all", one)
-            .select([F.coalesce(F.col(c), F.col("__all")[c]).alias(c) if c in cols else F.col(c) for c in df.columns]))
+
+    def statistics(rows, keys):
+        if stat == "median":
+            return _wide_medians(rows, keys, cols, "", monthly)
+        return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
+
+    blank = SeasonalImputer(by, {c: {} for c in cols}, {}, zero_is_missing)
+    fit = df.filter(fit_filter) if fit_filter is not None else df
+    rows = statistics(blank._base(fit), [by]).limit(MAX_SEASONS + 1).collect()
+    if len(rows) > MAX_SEASONS:
+        raise ValueError(f"{by} has more than {MAX_SEASONS} values and is no calendar part")
+    seasons = {c: {r[by]: r[c] for r in rows if r[by] is not None and r[c] is not None} for c in cols}
+    first = SeasonalImputer(by, seasons, {}, zero_is_missing)
+
+    # A season without a value, a missing season or one outside the fitted rows needs the overall value.
+    open_ended = fit_filter is not None or any(r[by] is None for r in rows)
+    cols = [c for c in cols if open_ended or any(r[c] is None for r in rows)]
+    overall = statistics(first.fill_seasons(fit), []).first().asDict() if cols else {}
+    return SeasonalImputer(by, seasons, overall, zero_is_missing)
+
+
+def impute_seasonal(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str = "median",
+                    zero_is_missing: bool = True, fit_filter: Column | None = None, monthly: bool = False) -> DataFrame:
+    """Fit a seasonal imputer on ``df`` and apply it; see :func:`fit_seasonal_imputer`."""
+    return fit_seasonal_imputer(df, cols, by, stat, zero_is_missing, fit_filter, monthly).transform(df)
 
 
 def climatology(df: DataFrame, cols: Sequence[str], by: str = "month") -> DataFrame:

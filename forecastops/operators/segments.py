@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from forecastops.functions import row_total
 from forecastops.operators.aggregates import mean_by
-from forecastops.operators.quantiles import exact_quantiles
+from forecastops.operators.quantiles import exact_quantiles, small_group_quantiles
 
 LEVELS = ("Free", "Moderate", "Peak")
 
@@ -105,10 +105,14 @@ def tercile_tiers(profile: DataFrame, by: Sequence[str], value: str, name: str =
 
 
 def high_traffic(df: DataFrame, cols: Sequence[str], share: float = 0.75, total: str = "total_passengers",
-                 name: str = "high_traffic") -> DataFrame:
-    """1 where the row total reaches the ``share`` quantile of all totals."""
+                 name: str = "high_traffic", monthly: bool = False) -> DataFrame:
+    """1 where the row total reaches the ``share`` quantile of all totals.
+
+    ``monthly`` says that the table has one row per month, so its totals fit one task.
+    """
     out = df.withColumn(total, row_total(cols))
-    limit = exact_quantiles(out, [], total, {"q": share}).scalar()
+    quantiles = small_group_quantiles if monthly else exact_quantiles
+    limit = quantiles(out, [], total, {"q": share}).scalar()
     return out.withColumn(name, (F.col(total) >= limit).cast("int"))
 
 

@@ -20,6 +20,7 @@ from forecastops.operators.prepare import attach_climatology, impute_seasonal, j
 from forecastops.operators.quantiles import iqr_filter
 from forecastops.operators.segments import cluster_series, fit_forest, high_traffic
 from forecastops.operators.splits import split_chronological, split_random, split_stratified
+from forecastops.session import cut_lineage
 from forecastops.sources.spines import future_grid, month_spine, series_hours, series_months
 
 
@@ -30,12 +31,13 @@ def prepare_passenger_hours(df: DataFrame, counts: Sequence[str], weather: Seque
 
     Gaps are interpolated along the row order of the report, rows still without counts are dropped, and
     what remains is summed to year, month, time and facility. A month is one slice of the order: it holds
-    one row per facility and time of day.
+    one row per facility and time of day. The result feeds the encoder, the fit, the climatology and the
+    grid, so it is written out once.
     """
     month = F.col("year") * 12 + F.col("month")
     filled = interpolate_linear(df, ["year", "month", "facility", "time"], [*counts, *weather], slice_by=month)
     filled = filled.dropna(subset=list(counts)).withColumn("total_passengers", row_total_strict(counts))
-    return group_keyed(filled, ["year", "month", "time", "facility"], ["total_passengers"], weather)
+    return cut_lineage(group_keyed(filled, ["year", "month", "time", "facility"], ["total_passengers"], weather))
 
 
 @dataclass
@@ -77,10 +79,14 @@ class SeriesForecast:
 
 def prepare_series(df: DataFrame, series: Sequence[str], weather: Sequence[str], zero_is_missing: bool = True,
                    fit_filter: Column | None = None) -> DataFrame:
-    """Monthly wide table with a month start and no gaps: weather by seasonal median, series by seasonal mean."""
+    """Monthly wide table with a month start and no gaps: weather by seasonal median, series by seasonal mean.
+
+    Every fit that follows reads this table, so it is written out once.
+    """
     rows = df.withColumn("month_start", make_month_start("year", "month"))
-    rows = impute_seasonal(rows, weather, stat="median", zero_is_missing=zero_is_missing, fit_filter=fit_filter)
-    return impute_seasonal(rows, series, stat="mean", zero_is_missing=zero_is_missing, fit_filter=fit_filter)
+    rules = {"zero_is_missing": zero_is_missing, "fit_filter": fit_filter, "monthly": True}
+    rows = impute_seasonal(rows, weather, stat="median", **rules)
+    return cut_lineage(impute_seasonal(rows, series, stat="mean", **rules))
 
 
 def future_weather(history: DataFrame, weather: Sequence[str], first_month: str, last_month: str, share: float = 0.05,
@@ -159,7 +165,7 @@ class Segments:
 def segment_and_classify(history: DataFrame, series: Sequence[str], weather: Sequence[str], key: Sequence[str],
                          stratified: bool = True, trees: int = 100, depth: int = 5, seed: int = 42) -> Segments:
     """Cluster months by their series, flag the top quarter by total and classify the flag by weather and calendar."""
-    labelled = high_traffic(cluster_series(history, series), series)
+    labelled = high_traffic(cluster_series(history, series), series, monthly=True)
     if stratified:
         parted = split_stratified(labelled, "high_traffic", key, seed=seed)
     else:
@@ -196,6 +202,8 @@ def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: st
     train = iqr_filter(hourly.filter(F.col("ts") < day_end), ["facility"], value)
     train = train.withColumns({"day_of_week": weekday_monday0("ts"), "month": F.month("ts"), "year": F.year("ts"),
                                "hour": F.hour("ts"), "label": log_target(value)})
+    # Read by the split, the levels, the seasonal weather and the fit: written out once.
+    train = cut_lineage(train)
     # A week slices a facility into at most 168 rows.
     parted = split_chronological(train, ["facility"], "ts", week_bucket("ts"))
     features = ["hour", *weather, "day_of_week", "month", "year"]
