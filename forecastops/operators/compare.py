@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from forecastops.functions import day_type, half_even, month_bucket, percent_change, trend_label, week_bucket
 from forecastops.operators.aggregates import pivot_sum
+from forecastops.session import cut_lineage
 
 SUMMER = (6, 7, 8)
 CUBE_KEYS = ["facility", "year", "month", "week", "day_type", "hour"]
@@ -94,7 +95,11 @@ def rush_hour_change(cube: DataFrame, base: int, target: int) -> DataFrame:
 
 
 def recovery_summary(cube: DataFrame, base: int, target: int) -> DataFrame:
-    """One row per facility: year change with summer and rush-hour trends where both years have them."""
+    """One row per facility: year change with summer and rush-hour trends where both years have them.
+
+    The cube feeds three comparisons and is written out once, so the facts are read once.
+    """
+    cube = cut_lineage(cube)
     return (year_change(cube, base, target)
             .join(summer_change(cube, base, target), "facility", "left")
             .join(rush_hour_change(cube, base, target), "facility", "left"))

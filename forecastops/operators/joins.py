@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecastops.session import cut_lineage
+
 BROADCAST_ROWS = 200_000
 
 
@@ -25,6 +27,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def measured_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`small_side` for a side that is costly to compute, such as one statistic per group.
+
+    The side is written out once, so neither the count nor the join computes it again.
+    """
+    return small_side(cut_lineage(df), max_rows)
+
+
 def calendar_side(df: DataFrame) -> DataFrame:
     """Broadcast hint for a table with one row per month (at most 9,999 x 12) or coarser.
 

@@ -20,8 +20,8 @@ CHUNK_ROWS = 8192
 def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__slice") -> DataFrame:
     """Range-partition by ``keys`` and ``order`` and number the ranges.
 
-    Sampling balances the ranges, so a hot key is spread over many of them. The layout is checkpointed:
-    later steps read it more than once and must see the same numbers, also after an executor is lost.
+    Sampling balances the ranges, so a hot key is spread over many of them. The layout is written
+    out: later steps read it more than once and must see the same numbers, also after an executor is lost.
     """
     ranged = df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id())
     return cut_lineage(ranged)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forecastops.operators.joins import measured_side
+
 BUCKETS_PER_OCTAVE = 1024
 
 
@@ -29,9 +31,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     step works on counts, and no step holds more than one bucket or one list of bucket codes in a task.
     """
     by = list(by)
-    counts = (df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-              .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-              .withColumn("__b", _magnitude_bucket(F.col("__v"))))
+    # The bucket is a grouping key and filtered up front, so that both readers below share one shuffle.
+    rows = df.select(*by, F.col(value).cast("double").alias("__v"))
+    rows = rows.withColumn("__b", _magnitude_bucket(F.col("__v"))).filter(F.col("__v").isNotNull() & F.col("__b").isNotNull())
+    counts = rows.groupBy(*by, "__v", "__b").agg(F.count(F.lit(1)).alias("__n"))
 
     # A NULL group key must meet itself when counts and ranks are joined.
     keys = [f"__k{i}" for i in range(len(by))]
@@ -85,10 +88,10 @@ def small_group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: M
 def iqr_filter(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Rows inside ``[q1 - reach * iqr, q3 + reach * iqr]`` of their group.
 
-    The fences have one row per group and join back on the group key; adaptive execution broadcasts
-    them when they are small and splits a hot group otherwise.
+    The fences have one row per group. They are written out once and counted; when there are few, the
+    rows are filtered where they are, without a shuffle.
     """
-    fences = exact_quantiles(df, by, value, {"__q1": 0.25, "__q3": 0.75})
+    fences = measured_side(exact_quantiles(df, by, value, {"__q1": 0.25, "__q3": 0.75}))
     iqr = F.col("__q3") - F.col("__q1")
     inside = F.col(value).between(F.col("__q1") - reach * iqr, F.col("__q3") + reach * iqr)
     return df.join(fences, list(by)).filter(inside).drop("__q1", "__q3")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecastops.functions import hash_number, hash_share
+from forecastops.operators.joins import measured_side
 
 HASH_SLICE = 2**16
 
@@ -19,8 +20,8 @@ def split_at_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], slic
 
     ``n`` is ``n_first(group size)``, or comes from ``quota`` (``keys`` and ``__target``). Instead of
     ranking all rows the border row of each group is found: counts per slice tell the slice it lies in,
-    only that slice is ranked, and every row is then compared with the border. ``slice_by`` must not
-    decrease along the order.
+    only that slice is ranked, and every row is then compared with the border, without a shuffle when the
+    groups are few. ``slice_by`` must not decrease along the order.
     """
     keys = list(keys)
     rows = df.withColumn("__slice", slice_by)
@@ -38,7 +39,7 @@ def split_at_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], slic
                     .select(*keys, "__slice", (F.col("__target") - before).alias("__nth")))
     ranked = rows.select(*keys, "__slice", F.struct(*order).alias("__border")).join(border_slice, [*keys, "__slice"])
     ranked = ranked.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy("__border")))
-    border = ranked.filter(F.col("__rn") == F.col("__nth")).select(*keys, "__border")
+    border = measured_side(ranked.filter(F.col("__rn") == F.col("__nth")).select(*keys, "__border"))
     marked = df.join(border, keys, "left")
     return marked.withColumn(name, F.coalesce(F.struct(*order) <= F.col("__border"), F.lit(False))).drop("__border")
 

@@ -14,7 +14,7 @@ from forecastops.operators.aggregates import group_keyed, pivot_sum
 from forecastops.operators.evaluate import actual_vs_predicted, class_report, forecast_metrics
 from forecastops.operators.forecast import (BoostParams, LinearFit, counts_from_log, fit_boosted, fit_linear, fit_many, log_target,
                                             season_adjust, series_bounds, time_series_cv)
-from forecastops.operators.joins import calendar_side
+from forecastops.operators.joins import calendar_side, measured_side
 from forecastops.operators.ordered import interpolate_linear, with_positions
 from forecastops.operators.prepare import attach_climatology, impute_seasonal, jitter
 from forecastops.operators.quantiles import iqr_filter
@@ -207,7 +207,7 @@ def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: st
     # A week slices a facility into at most 168 rows.
     parted = split_chronological(train, ["facility"], "ts", week_bucket("ts"))
     features = ["hour", *weather, "day_of_week", "month", "year"]
-    levels = train.groupBy("facility").agg(F.avg("label").alias("level"))
+    levels = measured_side(train.groupBy("facility").agg(F.avg("label").alias("level")))
     seasonal = train.groupBy("facility", "month").agg(*[F.avg(c).alias(c) for c in weather])
     ahead = series_hours(levels, first_day, last_day).withColumns(
         {"day_of_week": weekday_monday0("date"), "month": F.month("date"), "year": F.year("date")})
