@@ -15,9 +15,7 @@ from forecastops.catalog.tables import carrier_monthly, rounded, traffic_hourly
 from forecastops.operators import evaluate as ev
 from forecastops.operators import forecast as fc
 from forecastops.operators import segments as seg
-from forecastops.operators.joins import small_side
 from forecastops.operators.ordered import with_positions
-from forecastops.operators.prepare import hourly_by_facility
 from forecastops.plans import pipelines as pl
 from forecastops.plans import reports as r
 from forecastops.sources import standins as t
@@ -224,9 +222,8 @@ def eval_class_report(spark, d):
 @query("fc_facility_hourly", """SELECT facility, CAST(6 * 24 AS BIGINT) AS n, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS missing
 FROM traffic_hourly WHERE ts < TIMESTAMP '2024-01-25' GROUP BY facility""")
 def fc_facility_hourly(spark, d):
-    rows = t.traffic(spark, d).withColumns({"ts": fn.hour_start(fn.at_time("date", "time")), "total_vehicles": fn.row_total(t.VEHICLES)})
-    rows = rows.join(small_side(t.weather(spark, d)), "date", "left").select("facility", "ts", "total_vehicles", *W6)
-    hourly = hourly_by_facility(rows, ["total_vehicles"], W6)
+    rows = t.traffic(spark, d).withColumn("time", (F.floor(F.col("time") / 100) * 100).cast("int"))
+    hourly = pl.hourly_vehicles([rows], t.weather(spark, d), t.VEHICLES, W6)
     out = pl.facility_forecast(hourly, W6, "2024-01-24", "2024-01-25", "2024-01-30", fc.BoostParams(5, 0.05, 4))
     v = F.col("total_vehicles")
     return out.forecast.groupBy("facility").agg(F.count(F.lit(1)).alias("n"), F.sum((v < 0).cast("bigint")).alias("negative"),

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecastops.functions import month_start as make_month_start
-from forecastops.functions import row_total_strict, week_bucket, weekday_monday0
-from forecastops.operators.aggregates import group_keyed, pivot_sum
+from forecastops.functions import day_type, row_total_strict, week_bucket, weekday_monday0
+from forecastops.operators.aggregates import group_keyed, pivot_sum, union_all
+from forecastops.operators.compare import calendar_cube, recovery_summary, year_pair
 from forecastops.operators.evaluate import actual_vs_predicted, class_report, forecast_metrics
 from forecastops.operators.forecast import (BoostParams, LinearFit, counts_from_log, fit_boosted, fit_linear, fit_many, log_target,
-                                            season_adjust, series_bounds, time_series_cv)
-from forecastops.operators.joins import calendar_side, measured_side
-from forecastops.operators.ordered import interpolate_linear, with_positions
-from forecastops.operators.prepare import attach_climatology, impute_seasonal, jitter
+                                            param_grid, season_adjust, series_bounds, time_series_cv)
+from forecastops.operators.joins import calendar_side, measured_side, small_side
+from forecastops.operators.ordered import interpolate_linear, lag_features, top_k, with_positions
+from forecastops.operators.prepare import attach_climatology, hourly_by_facility, hourly_features, impute_seasonal, jitter
 from forecastops.operators.quantiles import iqr_filter
-from forecastops.operators.segments import cluster_series, fit_forest, high_traffic
+from forecastops.operators.segments import cluster_series, day_type_profile, fit_forest, high_traffic, tercile_tiers
 from forecastops.operators.splits import split_chronological, split_random, split_stratified
 from forecastops.session import cut_lineage
 from forecastops.sources.spines import future_grid, month_spine, series_hours, series_months
@@ -30,12 +31,11 @@ def prepare_passenger_hours(df: DataFrame, counts: Sequence[str], weather: Seque
     """Facility-hour-month rows to training rows.
 
     Gaps are interpolated along the row order of the report, rows still without counts are dropped, and
-    what remains is summed to year, month, time and facility. A month is one slice of the order: it holds
-    one row per facility and time of day. The result feeds the encoder, the fit, the climatology and the
-    grid, so it is written out once.
+    what remains is summed to year, month, time and facility. The order runs through the whole table and is
+    cut into balanced ranges. The result feeds the encoder, the fit, the climatology and the grid, so it is
+    written out once.
     """
-    month = F.col("year") * 12 + F.col("month")
-    filled = interpolate_linear(df, ["year", "month", "facility", "time"], [*counts, *weather], slice_by=month)
+    filled = interpolate_linear(df, ["year", "month", "facility", "time"], [*counts, *weather])
     filled = filled.dropna(subset=list(counts)).withColumn("total_passengers", row_total_strict(counts))
     return cut_lineage(group_keyed(filled, ["year", "month", "time", "facility"], ["total_passengers"], weather))
 
@@ -63,6 +63,14 @@ def passenger_hour_forecast(hours: DataFrame, weather: Sequence[str], train_unti
     return PassengerForecast(train, model, scored.select("year", "month", "time", "facility", "predicted_passengers", *weather))
 
 
+# Fixed search spaces: 32 settings with 3 folds for the first terminal, one setting with 5 folds for the second.
+GRID_TERMINAL_A = param_grid(n_estimators=[100, 200], learning_rate=[0.01, 0.1], max_depth=[3, 4], subsample=[0.8, 1.0],
+                             colsample=[0.8, 1.0])
+GRID_TERMINAL_B = param_grid(n_estimators=[100], learning_rate=[0.1], max_depth=[4], subsample=[0.8], colsample=[0.8])
+FOLDS_TERMINAL_A, FOLDS_TERMINAL_B = 3, 5
+HOURLY_PARAMS = BoostParams(n_estimators=300, learning_rate=0.05, max_depth=6)
+
+
 # --- monthly series by boosted trees -----------------------------------------------------------------
 
 @dataclass
@@ -134,7 +142,7 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
     elif mode == "pooled":
         params = {c: grid[0] for c in series}
         long = _long(train, series, weather)
-        levels = long.groupBy("series").agg(F.avg("value").alias("level")).filter(F.col("level") > 0)
+        levels = measured_side(long.groupBy("series").agg(F.avg("value").alias("level")).filter(F.col("level") > 0))
         scaled = long.join(levels, "series").withColumn("label", F.col("value") / F.col("level"))
         score = fit_boosted(scaled, [*features, "level"], "label", grid[0])
         back = F.col("p") * F.col("level")
@@ -189,7 +197,7 @@ class FacilityForecast:
 
 
 def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: str, first_day: str, last_day: str,
-                      params: BoostParams = BoostParams(300, 0.05, 6), mode: str = "pooled",
+                      params: BoostParams = HOURLY_PARAMS, mode: str = "pooled",
                       value: str = "total_vehicles") -> FacilityForecast:
     """Hourly vehicle forecast per facility from hour, weather and calendar.
 
@@ -236,3 +244,38 @@ def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: st
     forecast = scored.select("date", F.date_format("ts", "HH:mm").alias("time"), "facility",
                              counts_from_log("predicted").alias(value), "ts", "hour")
     return FacilityForecast(validation, rmse, forecast)
+
+
+# --- hourly vehicles from raw files to busiest hours -------------------------------------------------
+
+def hourly_vehicles(raw: Sequence[DataFrame], weather: DataFrame, vehicles: Sequence[str], weather_cols: Sequence[str]) -> DataFrame:
+    """Raw lane counts of several files to one row per facility and timestamp.
+
+    Volumes are summed, weather is averaged, and the table is written out once because lags, fences,
+    profiles and comparisons all start from it.
+    """
+    rows = hourly_features(union_all(list(raw)), vehicles).drop("hour", "day", "month", "year", "dayofweek", "is_weekend")
+    rows = rows.join(small_side(weather.select("date", *weather_cols)), "date", "left")
+    rows = rows.select("facility", "ts", *vehicles, "total_vehicles", *weather_cols)
+    return cut_lineage(hourly_by_facility(rows, [*vehicles, "total_vehicles"], weather_cols))
+
+
+def with_lags(hourly: DataFrame, trim_warmup: bool = True) -> DataFrame:
+    """Lags of 1 and 24 rows and the trailing 24-row mean per facility; a day is one slice of a facility."""
+    return lag_features(hourly, ["facility"], "ts", "total_vehicles", slice_by=F.to_date("ts"), trim_warmup=trim_warmup)
+
+
+def busiest_hours(forecast: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Tiers of the hour profile per facility and day type, and the ``k`` busiest hours of each."""
+    profile = day_type_profile(forecast.withColumn("day_type", day_type("date")))
+    tiers = tercile_tiers(profile, ["facility", "day_type"], "total_vehicles")
+    return tiers, top_k(tiers, ["facility", "day_type"], [F.desc("total_vehicles"), "hour"], k, rank="rank")
+
+
+def two_year_recovery(hourly: DataFrame, forecast: DataFrame, base: int, target: int, trim_warmup: bool = True) -> DataFrame:
+    """Recovery summary of a base year of history against a target year of the forecast.
+
+    The history is taken without its lag warm-up rows by default.
+    """
+    past = with_lags(hourly) if trim_warmup else hourly
+    return recovery_summary(calendar_cube(year_pair(past, forecast, base, target)), base, target)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -23,3 +23,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
     return path
+
+
+def write_all(tables: Mapping[str, DataFrame], folder: str, fmt: str = "csv", mode: str = "errorifexists") -> dict[str, str]:
+    """Export several result tables, one sub-folder each."""
+    return {name: write_table(df, f"{folder}/{name}", fmt, mode=mode) for name, df in tables.items()}
