@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from forecastops.catalog.registry import query
 from forecastops.catalog.tables import history_hourly, rounded
 from forecastops.operators import compare as c

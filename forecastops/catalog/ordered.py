@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forecastops import functions as fn
 from forecastops.catalog.registry import query
 from forecastops.catalog.relational import PROFILE_SQL, hour_profile
 from forecastops.catalog.tables import carrier_monthly, rounded, traffic_hourly
