@@ -86,10 +86,9 @@ def series_history(spark, d):
 
 
 @query("fc_series_gbt", """SELECT s.series, CAST(24 AS BIGINT) AS n_future, (SELECT COUNT(DISTINCT month(start_date)) FROM passenger_weekly WHERE year(start_date) = 2000) AS n_eval,
-  CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS missing FROM (VALUES ('af'), ('nf')) s(series)""")
+  CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS missing FROM (VALUES ('af'), ('ao'), ('nf'), ('no'), ('rf'), ('ro')) s(series)""")
 def fc_series_gbt(spark, d):
-    series = ["af", "nf"]
-    out = pl.series_forecast(series_history(spark, d), series, W6, 2000, "2002-01-01", "2003-12-01", [SMALL])
+    out = pl.series_forecast(series_history(spark, d), C6, W6, 2000, "2002-01-01", "2003-12-01", [SMALL])
     held = F.col("forecast") / 1.1
     outside = (held < F.col("low") - 1e-6) | (held > F.col("high") + 1e-6)
     ahead = out.forecast.groupBy("series").agg(
@@ -136,12 +135,12 @@ def eval_metrics(spark, d):
     return rounded(ev.forecast_metrics(naive(spark, d), ["series"]), ["mae", "rmse", "mape"])
 
 
-@query("eval_actual_vs_pred", f"WITH {NAIVE_SQL} SELECT * FROM naive WHERE series IN ('af', 'nf')")
+@query("eval_actual_vs_pred", f"WITH {NAIVE_SQL} SELECT * FROM naive")
 def eval_actual_vs_pred(spark, d):
-    wide = carrier_monthly(spark, d).select(fn.month_start("year", "month").alias("month_start"), "af", "nf")
-    for c in ("af", "nf"):
+    wide = carrier_monthly(spark, d).select(fn.month_start("year", "month").alias("month_start"), *C6)
+    for c in C6:
         wide = ev.seasonal_naive(wide, [], "month_start", c, f"{c}_p")
-    return ev.actual_vs_predicted(wide, ["month_start"], {c: (c, f"{c}_p") for c in ("af", "nf")})
+    return ev.actual_vs_predicted(wide, ["month_start"], {c: (c, f"{c}_p") for c in C6})
 
 
 ADJUST_KEY = "('42|' || n.series || '|' || CAST(n.month_start AS VARCHAR))"
@@ -165,10 +164,8 @@ def fc_season_adjust(spark, d):
 @query("seg_kmeans_series", "SELECT COUNT(*) AS n, CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS unlabelled, CAST(0 AS BIGINT) AS nearer_elsewhere FROM carrier_monthly")
 def seg_kmeans_series(spark, d):
     """Every month belongs to the cluster whose mean is nearest."""
-    cols = ["af", "nf", "ro"]
-    rows = carrier_monthly(spark, d).na.fill(0)
-    out = seg.cluster_series(rows.select("year", "month", *cols), cols)
-    z = [f"{c}_z" for c in cols]
+    out = seg.cluster_series(carrier_monthly(spark, d).na.fill(0), C6)
+    z = [f"{c}_z" for c in C6]
     means = [list(m) for m in out.groupBy("cluster").agg(*[F.avg(c) for c in z]).orderBy("cluster").drop("cluster").collect()]
     own = seg.nearest_centre(z, means, list(range(len(means))))
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"),

@@ -159,10 +159,10 @@ def label_high_traffic(spark, d):
 
 
 @query("seg_standardise", "SELECT year, month, " + ", ".join(
-    f"ROUND(({c} - AVG({c}) OVER ()) / stddev_pop({c}) OVER (), 4) + 0.0 AS {c}_z" for c in ["af", "nf", "ro"]) + " FROM carrier_monthly")
+    f"ROUND(({c} - AVG({c}) OVER ()) / stddev_pop({c}) OVER (), 4) + 0.0 AS {c}_z" for c in C6) + " FROM carrier_monthly")
 def seg_standardise(spark, d):
-    out = seg.standardise(carrier_monthly(spark, d).select("year", "month", "af", "nf", "ro"), ["af", "nf", "ro"])
-    return rounded(out.drop("af", "nf", "ro"), ["af_z", "nf_z", "ro_z"])
+    out = seg.standardise(carrier_monthly(spark, d).drop("total"), C6)
+    return rounded(out.drop(*C6), [f"{c}_z" for c in C6])
 
 
 @query("etl_reshape_hourly", """SELECT date, substring(lpad(CAST(time AS VARCHAR), 4, '0'), 1, 2) || ':' || substring(lpad(CAST(time AS VARCHAR), 4, '0'), 3) AS time,
@@ -190,15 +190,14 @@ def normal_sql(key):
 
 @query("fc_weather_jitter", f"""WITH b AS (SELECT max(date) AS hi FROM carrier_daily),
 s AS (SELECT CAST(unnest(generate_series(date_trunc('month', hi) + INTERVAL 1 MONTH, date_trunc('month', hi) + INTERVAL 72 MONTH, INTERVAL 1 MONTH)) AS DATE) AS month_start FROM b),
-k AS (SELECT month(date) AS m, AVG(awnd) AS awnd, AVG(tmax) AS tmax FROM weather GROUP BY 1),
-z AS (SELECT stddev_samp(awnd) AS awnd, stddev_samp(tmax) AS tmax FROM weather)
-SELECT s.month_start, {', '.join(f"ROUND(greatest(k.{c} + {normal_sql(f'''('42|{c}|' || CAST(s.month_start AS VARCHAR))''')} * z.{c} * 0.05, 0.0), 4) AS {c}" for c in ('awnd', 'tmax'))}
+k AS (SELECT month(date) AS m, {', '.join(f'AVG({c}) AS {c}' for c in W6)} FROM weather GROUP BY 1),
+z AS (SELECT {', '.join(f'stddev_samp({c}) AS {c}' for c in W6)} FROM weather)
+SELECT s.month_start, {', '.join(f"ROUND(greatest(k.{c} + {normal_sql(f'''('42|{c}|' || CAST(s.month_start AS VARCHAR))''')} * z.{c} * 0.05, 0.0), 4) AS {c}" for c in W6)}
 FROM s JOIN k ON k.m = month(s.month_start), z""")
 def fc_weather_jitter(spark, d):
     from forecastops.sources import spines
-    cols = ["awnd", "tmax"]
     last = t.carrier_daily(spark, d).agg(F.trunc(F.max("date"), "month").alias("d"))
     spine = spines.month_spine(spark, last.select(F.add_months("d", 1)).scalar(), last.select(F.add_months("d", 72)).scalar())
     history = t.weather(spark, d).withColumn("month", F.month("date"))
-    future = p.attach_climatology(spine, history, cols)
-    return rounded(p.jitter(future, history, cols, F.col("month_start")), cols).select("month_start", *cols)
+    future = p.attach_climatology(spine, history, W6)
+    return rounded(p.jitter(future, history, W6, F.col("month_start")), W6).select("month_start", *W6)

@@ -126,8 +126,11 @@ def hour_start(ts) -> Column:
 
 
 def time_text(ts) -> Column:
-    """``HH:mm`` of a timestamp."""
-    return F.date_format(_col(ts), "HH:mm")
+    """``HH:mm`` of a timestamp, by its parts: formatting would pass through the session zone."""
+    def two(part):
+        return F.lpad(part.cast("string"), 2, "0")
+
+    return F.concat(two(F.hour(_col(ts))), F.lit(":"), two(F.minute(_col(ts))))
 
 
 def year_range(c, first: int, last: int) -> Column:

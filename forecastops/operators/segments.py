@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from forecastops.functions import row_total
 from forecastops.operators.aggregates import mean_by
+from forecastops.operators.forecast import PARALLEL_FITS
 from forecastops.operators.quantiles import exact_quantiles, small_group_quantiles
 
 LEVELS = ("Free", "Moderate", "Peak")
@@ -58,7 +60,11 @@ def fit_kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seeds: Sequence[i
     points = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("__w"))
     points = VectorAssembler(inputCols=list(cols), outputCol="__x").transform(points).select("__x", "__w").persist()
     try:
-        models = [KMeans(k=k, seed=s, featuresCol="__x", weightCol="__w").fit(points) for s in seeds]
+        def run(seed):
+            return KMeans(k=k, seed=seed, featuresCol="__x", weightCol="__w").fit(points)
+
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            models = list(pool.map(run, seeds))
         best = min(models, key=lambda m: m.summary.trainingCost)
         return sorted([list(map(float, c)) for c in best.clusterCenters()])
     finally:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecastops.functions import month_start as make_month_start
-from forecastops.functions import day_type, row_total_strict, week_bucket, weekday_monday0
+from forecastops.functions import day_type, row_total_strict, time_text, week_bucket, weekday_monday0
 from forecastops.operators.aggregates import group_keyed, pivot_sum, union_all
 from forecastops.operators.compare import calendar_cube, recovery_summary, year_pair
 from forecastops.operators.evaluate import actual_vs_predicted, class_report, forecast_metrics
@@ -89,9 +89,10 @@ def prepare_series(df: DataFrame, series: Sequence[str], weather: Sequence[str],
                    fit_filter: Column | None = None) -> DataFrame:
     """Monthly wide table with a month start and no gaps: weather by seasonal median, series by seasonal mean.
 
-    Every fit that follows reads this table, so it is written out once.
+    The monthly table is written out before its statistics are taken, and again when it is complete, since
+    every fit that follows reads it.
     """
-    rows = df.withColumn("month_start", make_month_start("year", "month"))
+    rows = cut_lineage(df.withColumn("month_start", make_month_start("year", "month")))
     rules = {"zero_is_missing": zero_is_missing, "fit_filter": fit_filter, "monthly": True}
     rows = impute_seasonal(rows, weather, stat="median", **rules)
     return cut_lineage(impute_seasonal(rows, series, stat="mean", **rules))
@@ -241,7 +242,7 @@ def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: st
 
     error = F.col("label") - F.col("predicted")
     rmse = validation.groupBy("facility").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n"))
-    forecast = scored.select("date", F.date_format("ts", "HH:mm").alias("time"), "facility",
+    forecast = scored.select("date", time_text("ts").alias("time"), "facility",
                              counts_from_log("predicted").alias(value), "ts", "hour")
     return FacilityForecast(validation, rmse, forecast)
 

@@ -73,7 +73,7 @@ def test_hour_spine(spark):
 
 
 def test_names(spark):
-    assert readers.clean_name(" Peter Line/Bay & Co. ") == "peter_line_bay_co"
+    assert readers.clean_name(" Harbour Line/Bay & Co. ") == "harbour_line_bay_co"
     df = spark.createDataFrame([(float("nan"), 1)], "` a b ` double, c int")
     assert readers.missing_as_null(readers.trim_names(df)).first()[0] is None
 
