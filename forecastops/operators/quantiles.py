@@ -10,42 +10,47 @@ from pyspark.sql import functions as F
 from forecastops.operators.joins import measured_side
 
 BUCKETS_PER_OCTAVE = 1024
+CELLS_PER_BUCKET = 65536
 
 
-def _magnitude_bucket(v):
-    """Order-preserving coarse code of a number.
+def _buckets_and_cells(v):
+    """Two order-preserving codes of a number: a bucket, and a cell inside the bucket.
 
-    Values within about 0.07 % of each other share a code, so a number has at most some two million codes
-    and a code holds at most ``0.0007 * |v|`` distinct whole numbers.
+    Numbers within about 0.07 % of each other share a bucket, and a number has at most some two million
+    buckets; numbers within about 1e-8 of each other, relatively, share a cell.
     """
-    octave = F.floor(F.log2(F.abs(v) + 1.0) * BUCKETS_PER_OCTAVE)
-    return F.when(v < 0, -octave).otherwise(octave)
+    depth = F.log2(F.abs(v) + 1.0) * BUCKETS_PER_OCTAVE
+    bucket, cell = F.floor(depth), F.floor((depth - F.floor(depth)) * CELLS_PER_BUCKET)
+    sign = F.when(v < 0, -1).otherwise(1)
+    return bucket * sign, cell * sign
+
+
+def _narrow(counts: DataFrame, within: Sequence[str], code: str, carried: Sequence[str]) -> DataFrame:
+    """One row per ``within`` and ``code`` with the count of rows up to and before it."""
+    sizes = counts.groupBy(*within, code).agg(F.sum("__n").alias("__n"), *[F.first(c).alias(c) for c in carried])
+    order = Window.partitionBy(*within).orderBy(code).rowsBetween(Window.unboundedPreceding, 0)
+    return sizes.withColumn("__cum", F.sum("__n").over(order)).withColumn("__start", F.col("__cum") - F.col("__n"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group of ``by`` with the quantiles named in ``probs``; missing values are skipped.
 
     The built-in exact percentile gathers all distinct values of a group in one buffer. Here rows are
-    first counted per distinct value, which spreads a hot group over the cluster. Counts per magnitude
-    bucket then tell which bucket holds each wanted rank, and only those buckets are looked into. Every
-    step works on counts, and no step holds more than one bucket or one list of bucket codes in a task.
+    first counted per distinct value, which spreads a hot group over the cluster. Counts per bucket tell
+    which bucket holds each wanted rank, counts per cell of those buckets tell the cell, and only the
+    values of those cells are put in order. Every step works on counts; a task holds at most the bucket
+    codes of a group, the cell codes of a bucket or the values of a cell.
     """
     by = list(by)
-    # The bucket is a grouping key and filtered up front, so that both readers below share one shuffle.
-    rows = df.select(*by, F.col(value).cast("double").alias("__v"))
-    rows = rows.withColumn("__b", _magnitude_bucket(F.col("__v"))).filter(F.col("__v").isNotNull() & F.col("__b").isNotNull())
-    counts = rows.groupBy(*by, "__v", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    # The codes are grouping keys and filtered up front, so that all readers below share one shuffle.
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    bucket, cell = _buckets_and_cells(F.col("__v"))
+    rows = rows.withColumns({"__b": bucket, "__c": cell}).filter(F.col("__b").isNotNull() & F.col("__c").isNotNull())
+    counts = rows.groupBy(*by, "__v", "__b", "__c").agg(F.count(F.lit(1)).alias("__n"))
 
     # A NULL group key must meet itself when counts and ranks are joined.
     keys = [f"__k{i}" for i in range(len(by))]
     counts = counts.select("*", *[F.struct(F.col(c)).alias(k) for c, k in zip(by, keys)])
-    group = Window.partitionBy(*keys)
-
-    buckets = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"))
-    order = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (buckets.withColumn("__cum", F.sum("__n").over(order))
-               .withColumn("__total", F.sum("__n").over(group))
-               .withColumn("__before", F.col("__cum") - F.col("__n")))
 
     def rank(p):
         return F.lit(float(p)) * (F.col("__total") - 1)
@@ -53,15 +58,22 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(rank(p)).alias("lo"), F.ceil(rank(p)).alias("hi"),
                                 (rank(p) - F.floor(rank(p))).alias("frac")) for name, p in probs.items()])
 
-    def inside(edge):
-        return (edge >= F.col("__before")) & (edge < F.col("__cum"))
-
-    hits = buckets.withColumn("__wanted", F.filter(wanted, lambda w: inside(w["lo"]) | inside(w["hi"])))
-    hits = hits.filter(F.size("__wanted") > 0).select(*keys, "__b", "__before", "__wanted")
-
-    inner = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    values = (counts.join(hits, [*keys, "__b"])
-              .withColumn("__cum", F.col("__before") + F.sum("__n").over(inner))
+    def holding_a_rank(stretches, on):
+        def inside(edge):
+            return (edge >= F.col("__start")) & (edge < F.col("__cum"))
+
+        hits = stretches.withColumn("__wanted", F.filter("__wanted", lambda w: inside(w["lo"]) | inside(w["hi"])))
+        return hits.filter(F.size("__wanted") > 0).select(*on, F.col("__start").alias("__before"), "__wanted")
+
+    buckets = _narrow(counts, keys, "__b", [])
+    buckets = buckets.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys))).withColumn("__wanted", wanted)
+    in_bucket = [*keys, "__b"]
+    cells = _narrow(counts.join(holding_a_rank(buckets, in_bucket), in_bucket), in_bucket, "__c", ["__before", "__wanted"])
+    cells = cells.withColumns({"__start": F.col("__start") + F.col("__before"), "__cum": F.col("__cum") + F.col("__before")})
+    in_cell = [*in_bucket, "__c"]
+    values = counts.join(holding_a_rank(cells, in_cell), in_cell)
+    order = Window.partitionBy(*in_cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    values = (values.withColumn("__cum", F.col("__before") + F.sum("__n").over(order))
               .withColumn("__start", F.col("__cum") - F.col("__n"))
               .withColumn("__w", F.explode("__wanted")))
 
@@ -72,9 +84,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     def share(name):
         return F.max(F.when(F.col("__w.name") == name, F.col("__w.frac")))
 
-    out = values.groupBy(*by).agg(*[
+    return values.groupBy(*by).agg(*[
         (edge_value(n, "lo") + (edge_value(n, "hi") - edge_value(n, "lo")) * share(n)).alias(n) for n in probs])
-    return out
 
 
 def small_group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

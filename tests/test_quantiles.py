@@ -7,12 +7,13 @@ from forecastops.operators import quantiles as q
 PROBS = {"p05": 0.05, "p25": 0.25, "third": 1 / 3, "half": 0.5, "p95": 0.95, "lo": 0.0, "hi": 1.0}
 
 
-@pytest.mark.parametrize("kind", ["counts", "normal", "constant", "wide", "huge"])
+@pytest.mark.parametrize("kind", ["counts", "normal", "constant", "wide", "huge", "band"])
 def test_matches_linear_interpolation(spark, kind):
     rng = np.random.default_rng(11)
     make = {"counts": lambda n: rng.integers(0, 300, n).astype(float), "normal": lambda n: rng.normal(0, 5, n),
             "constant": lambda n: np.full(n, 7.0), "wide": lambda n: np.sign(rng.normal(size=n)) * 10 ** rng.uniform(-8, 12, n),
-            "huge": lambda n: 1e9 + rng.integers(0, 50, n).astype(float)}[kind]
+            "huge": lambda n: 1e9 + rng.integers(0, 50, n).astype(float),
+            "band": lambda n: -rng.uniform(1000, 1000.3, n)}[kind]
     groups = {"hot": make(2000), "two": make(2), "one": make(1), "odd": make(37)}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(6)
