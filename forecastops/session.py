@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,35 +28,53 @@ def build_session(master: str | None = None, app_name: str = "forecastops", **co
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="forecastops-")
-    return _local_dir
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or else the session's warehouse folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
-_local_dir: str | None = None
+_written: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the program ends or by ``clean_scratch``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder through Spark's own file system layer."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def clean_scratch(spark: SparkSession | None = None) -> None:
+    """Delete every scratch table this program has written; results that read them must be finished."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in list(_written):
+        remove_path(spark, path)
+
+
+def _clean_at_exit() -> None:
+    try:
+        clean_scratch()
+    except Exception:  # the JVM may be gone already; what is left lies in the scratch folder only
+        pass
+
+
+atexit.register(_clean_at_exit)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written out once as a table in the shared folder and read back.
 
     What follows starts from that table: it is not computed again for every reader or after an executor is
-    lost, readers take only the columns they need, and plans stay small. The folder is scratch space and
-    may be emptied between sessions.
+    lost, readers take only the columns they need, and plans stay small. ``clean_scratch`` deletes the table.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
