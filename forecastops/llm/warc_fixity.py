@@ -14,7 +14,7 @@ columns may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecastops.llm.common import plain_text, shared_rows
@@ -25,25 +25,37 @@ PAGES_PER_ARCHIVE = 1000
 
 
 def warc_records(pages: DataFrame, pages_per_archive: int = PAGES_PER_ARCHIVE) -> DataFrame:
-    """``archive``, ``offset``, ``length``, ``record_id`` and ``record`` (the WARC text) of every page.
-
-    Consecutive ids share an archive, so the running offset is summed within a bounded group.
-    """
+    """``archive``, ``record_id`` and ``record`` (the WARC text) of every page; consecutive ids share an archive."""
     payload = plain_text(F.col("html"))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "), plain_text(F.col("url")), F.lit("\r\nContent-Length: "),
         F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload, F.lit("\r\n\r\n"))
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / pages_per_archive), F.lit(-1)).cast("long").alias("archive"),
+    return pages.select(F.coalesce(F.floor(F.col("page_id") / pages_per_archive), F.lit(-1)).cast("long").alias("archive"),
                         F.col("page_id").alias("record_id"), record.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("archive").orderBy(F.col("record_id").asc_nulls_first(), "record").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def manifest(records: DataFrame, **copies: Column) -> DataFrame:
+    """Archive, id, offset, length and SHA-256 of every record as written, without the records themselves.
+
+    ``copies`` names further replicas, each with an expression for what it holds in place of ``record`` (null where
+    it has lost it); they add ``length_<name>`` and ``digest_<name>``. Records are laid end to end by id. An archive
+    is bounded by its number of ids, so the running offset is summed within a bounded group.
+    """
+    size = lambda c: F.octet_length(c).cast("long")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    own = F.col("record")
+    rows = records.select("archive", "record_id", size(own).alias("length"), digest(own).alias("digest"),
+                          *[f(c).alias(f"{label}_{name}") for name, c in copies.items() for label, f in (("length", size), ("digest", digest))])
+    before = Window.partitionBy("archive").orderBy(F.col("record_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
-def record_digests(records: DataFrame) -> DataFrame:
-    """Archive, offset, length, id and SHA-256 of every record; what a replica's holder sends."""
-    return records.select("archive", "offset", "length", "record_id", F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+def replica(rows: DataFrame, name: str | None = None) -> DataFrame:
+    """The digests that one replica holds: archive, offset, length, record_id and digest."""
+    tail = f"_{name}" if name else ""
+    return rows.where(F.col(f"digest{tail}").isNotNull()).select(
+        "archive", "offset", F.col(f"length{tail}").alias("length"), "record_id", F.col(f"digest{tail}").alias("digest"))
 
 
 def merkle_tree(digests: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT, levels: int = 6) -> DataFrame:
@@ -84,18 +96,17 @@ def differing_leaves(tree_a: DataFrame, tree_b: DataFrame, fanout: int = FANOUT,
 
 
 def audit(digests_a: DataFrame, digests_b: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT, levels: int = 6) -> DataFrame:
-    """Records that differ: archive, offset, id, and length and digest in either replica (null where missing)."""
+    """Records that differ: archive, offset, record_id, and length and digest in either replica (null where missing)."""
     trees = [shared_rows(merkle_tree(d, leaf_bytes, fanout, levels)) for d in (digests_a, digests_b)]
     leaves = differing_leaves(*trees, fanout, levels)
     sides = []
     for name, digests in (("a", digests_a), ("b", digests_b)):
         near = digests.withColumn("node", F.floor(F.col("offset") / leaf_bytes)).join(leaves, ["archive", "node"], "left_semi")
         same = Window.partitionBy("archive", "offset", "record_id").orderBy("digest")
-        sides.append(near.select("archive", "offset", F.col("record_id").alias("id"), F.row_number().over(same).alias("copy"),
-                                 F.col("length").alias(f"length_{name}"), F.col("digest").alias(f"digest_{name}")))
-    a, b = sides
-    match = [a["archive"] == b["archive"], a["offset"] == b["offset"], a["id"].eqNullSafe(b["id"]), a["copy"] == b["copy"]]
-    joined = a.join(b, match, "full")
-    pick = lambda c: F.coalesce(a[c], b[c]).alias(c)
-    return joined.where(~(a["digest_a"].eqNullSafe(b["digest_b"]) & a["length_a"].eqNullSafe(b["length_b"]))).select(
-        pick("archive"), pick("offset"), pick("id"), "length_a", "length_b", "digest_a", "digest_b")
+        sides.append(near.select(
+            "archive", "offset", F.row_number().over(same).alias("copy"), F.coalesce(F.col("record_id").cast("string"), F.lit("")).alias("key"),
+            F.struct("record_id", "length", "digest").alias(name)))
+    held = lambda f: [F.col(f"{n}.{f}").alias(f"{f}_{n}") for n in ("a", "b")]
+    return sides[0].join(sides[1], ["archive", "offset", "key", "copy"], "full").where(
+        ~(F.col("a.digest").eqNullSafe(F.col("b.digest")) & F.col("a.length").eqNullSafe(F.col("b.length")))).select(
+        "archive", "offset", F.coalesce("a.record_id", "b.record_id").alias("record_id"), *held("length"), *held("digest"))
