@@ -39,7 +39,8 @@ def word_count(text: Column) -> Column:
 def words(text: Column) -> Column:
     """All words of the whole text in order, as an array; empty for null or blank text."""
     trimmed = F.btrim(plain_text(text), F.lit(BLANKS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    # In Spark's regular expressions \s is just these six blanks.
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

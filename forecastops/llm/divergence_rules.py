@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence, with built-in functions only.
 
 Each document gives two histograms: how its characters spread over character classes, and how its words spread over
-the most common words of its language. Each is compared with the language's own histogram, gathered from all
-documents that pass the base rules, by Jensen-Shannon distance (base 2, so between 0 and 1). A document is kept if
-both distances are small; a histogram of too few words says little, so below a minimum length it is not judged.
+the common words of its language (those in most documents; all others count together). Each is compared with the
+language's own histogram, gathered from all documents that pass the base rules, by Jensen-Shannon distance (base 2,
+so between 0 and 1). A document is kept if both distances are small; a histogram of too few words says little, so
+below a minimum length it is not judged. Words are compared with their case and punctuation.
 
 Languages beyond the ``max_languages`` most frequent, and null, are compared with the histogram of all documents, so
 the table of references is bounded and can be broadcast.
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from forecastops.llm.common import BLANKS, plain_text, shared_rows, words
 
-SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "mark", "symbol", "blank")
 ALL_LANGUAGES = ""
 
@@ -28,71 +28,86 @@ ALL_LANGUAGES = ""
 def repeated_words(tokens: str, window: int = 3) -> list[tuple[str, Column]]:
     """Named column steps that end in ``n_repeat_words``: words covered by windows found twice or more.
 
-    The windows are sorted by hash next to their position, so equal ones are neighbours: no pairs are formed.
+    The windows are sorted by hash next to their position, so equal ones are neighbours: no pairs are formed. Texts
+    without equal windows skip the sort.
     """
     w = F.col(tokens)
     last = F.size(w) - window
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(window)]).alias("h"), i.alias("i")))
+    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
+    placed = F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     return [
-        ("__windows", F.when(last >= 1, F.array_sort(hashed))),
+        ("__hashes", F.when(last >= 1, hashed)),
+        ("__windows", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), F.sort_array(placed))),
         ("__again", F.filter("__windows", lambda x, k: F.coalesce(x["h"] == F.get(F.col("__windows"), k - 1)["h"], F.lit(False))
                              | F.coalesce(x["h"] == F.get(F.col("__windows"), k + 1)["h"], F.lit(False)))),
         ("n_repeat_words", F.coalesce(F.aggregate(
-            F.array_sort(F.transform("__again", lambda x: x["i"])),
+            F.sort_array(F.transform("__again", lambda x: x["i"])),
             F.struct(F.lit(-window).alias("at"), F.lit(0).cast("long").alias("n")),
             lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(window), i - a["at"])).cast("long").alias("n")),
             lambda a: a["n"]), F.lit(0).cast("long"))),
     ]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Base counts, base rule, lower-case words and character-class counts of every document."""
-    text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit(ALL_LANGUAGES)).alias("lang"), plain_text(text).alias("text"))
+def common_words(rows: DataFrame, common: int, max_languages: int) -> DataFrame:
+    """For each language the ``common`` words in most of its documents, as a map to their rank (from 1).
+
+    The row with an empty language is for all documents together.
+    """
+    seen = shared_rows(rows.select("lang", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("lang", "word").agg(
+        F.count("*").alias("n")))
+    largest = shared_rows(rows.where(F.col("lang") != ALL_LANGUAGES).groupBy("lang").agg(F.count("*").alias("docs")).orderBy(
+        F.desc("docs"), "lang").limit(max_languages).select("lang"))
+    pooled = seen.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL_LANGUAGES).alias("lang"), "word", "n")
+    listed = seen.join(F.broadcast(largest), "lang", "left_semi").unionByName(pooled)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = listed.withColumn("rank", rank).where(F.col("rank") <= common)
+    return top.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("ranks"))
+
+
+def statistics(rows: DataFrame, ranks: DataFrame, common: int) -> DataFrame:
+    """Base counts, base rule, and class and common-word counts of every document; ``lang`` is the reference's."""
+    known = ranks.select(F.col("lang").alias("known"), "ranks").where(F.col("known") != ALL_LANGUAGES)
+    pooled = ranks.where(F.col("lang") == ALL_LANGUAGES).select(F.lit(True).alias("unknown"), F.col("ranks").alias("pooled"))
+    rows = rows.join(F.broadcast(known), F.col("lang") == F.col("known"), "left").withColumn("unknown", F.col("known").isNull())
+    rows = rows.join(F.broadcast(pooled), "unknown", "left").select(
+        "doc_id", F.coalesce("known", F.lit(ALL_LANGUAGES)).alias("lang"), "text", F.coalesce("ranks", "pooled").alias("ranks"))
     rows = rows.withColumn("__words", words(F.col("text")))
     rows = rows.withColumn("__lines", F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    rows = rows.withColumn("__found", F.array_compact(F.transform("__words", lambda w: F.col("ranks")[w])))
     # What is neither a lower-case letter, a letter without case nor a blank: short for prose, and counted by class.
-    rows = rows.withColumn("__rest", F.regexp_replace("text", r"[\p{Ll}\p{Lo}\x20\x09-\x0D]+", ""))
+    rows = rows.withColumn("__rest", F.regexp_replace("text", r"[\p{Ll}\p{Lo}\s]+", ""))
     for name, column in repeated_words("__words"):
         rows = rows.withColumn(name, column)
     only = lambda keep: F.length(F.regexp_replace("__rest", f"[^{keep}]+", "")).cast("long")
     rows = rows.select(
-        "doc_id", "lang", "__words", F.size("__words").cast("long").alias("n_words"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"), F.length("text").cast("long").alias("__chars"),
-        (F.length("__rest") - F.length(F.translate("__rest", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "doc_id", "lang", F.size("__words").cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), F.length("text").cast("long").alias("__chars"),
+        (F.length("__rest") - F.length(F.regexp_replace("__rest", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        F.transform(F.sequence(F.lit(1), F.lit(common)), lambda j: (F.size("__found") - F.size(F.array_remove("__found", j))).cast("long")).alias("__hits"),
         only(r"\p{Lu}").alias("__upper"), only(r"\p{N}").alias("__digit"), only(r"\p{P}").alias("__mark"), F.length("__rest").cast("long").alias("__other"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    # Signs of SYMBOLS that Unicode calls punctuation count with the marks; all other rest is symbols.
     classes = [F.col("word_chars") - F.col("__other"), F.col("__upper"), F.col("__digit"), F.col("__mark"),
                F.col("__other") - F.col("__upper") - F.col("__digit") - F.col("__mark"), F.col("__chars") - F.col("word_chars")]
-    return rows.select("doc_id", "lang", F.transform("__words", F.lower).alias("words"), "n_words", "word_chars", "n_symbols",
-                       "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.array(*classes).alias("classes"))
+    others = F.col("n_words") - F.aggregate("__hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       failed.alias("base_failed"), F.array(*classes).alias("classes"), F.concat("__hits", F.array(others)).alias("hits"))
 
 
-def language_references(rows: DataFrame, common: int = 20, max_languages: int = 1000) -> DataFrame:
-    """One row for each language: its ``common`` words, and its word and class counts (``ref_words``, ``ref_classes``).
+def language_references(rows: DataFrame, common: int) -> DataFrame:
+    """One row for each language: the sums of its documents' histograms (``ref_classes``, ``ref_hits``).
 
-    The row with an empty language is the sum of all. Counts cover every document that passes the base rules.
+    Every document that passes the base rules counts; the row with an empty language is for those without one.
     """
-    good = rows.where(~F.col("base_failed"))
-    totals = good.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n"), *[F.sum(F.col("classes")[k]).alias(c) for k, c in enumerate(CLASSES)])
-    by_word = good.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    by_word, totals = shared_rows(by_word), shared_rows(totals)
-    largest = totals.where(F.col("lang") != ALL_LANGUAGES).orderBy(F.desc("docs"), "lang").limit(max_languages).select("lang")
-    pooled_words = by_word.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL_LANGUAGES).alias("lang"), "word", "n")
-    listed = by_word.join(F.broadcast(largest), "lang", "left_semi").unionByName(pooled_words)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = listed.withColumn("rank", rank).where(F.col("rank") <= common).groupBy("lang").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    sums = ["n", *CLASSES]
-    pooled = totals.agg(*[F.sum(c).alias(c) for c in sums]).select(F.lit(ALL_LANGUAGES).alias("lang"), *sums)
-    sides = totals.join(F.broadcast(largest), "lang", "left_semi").select("lang", *sums).unionByName(pooled)
-    counts = F.transform("top", lambda x: x["n"])
-    return top.join(sides, "lang").select(
-        "lang", F.transform("top", lambda x: x["word"]).alias("common"),
-        F.concat(counts, F.array(F.col("n") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x))).alias("ref_words"),
-        F.array(*CLASSES).alias("ref_classes"))
+    def sums(column: str, n: int) -> list[Column]:
+        return [F.sum(F.when(~F.col("base_failed"), F.get(column, F.lit(k)))).alias(f"{column}{k}") for k in range(n)]
+
+    def gather(column: str, n: int) -> Column:
+        return F.array(*[F.coalesce(F.col(f"{column}{k}"), F.lit(0).cast("long")) for k in range(n)]).alias(f"ref_{column}")
+
+    sizes = {"classes": len(CLASSES), "hits": common + 1}
+    wide = rows.groupBy("lang").agg(*[c for name, n in sizes.items() for c in sums(name, n)])
+    return wide.select("lang", *[gather(name, n) for name, n in sizes.items()])
 
 
 def _total(counts: Column) -> Column:
@@ -107,29 +122,26 @@ def jensen_shannon(a: str, b: str) -> Column:
         mean = (x + y) / 2
         return F.when(x > 0, x * F.log2(x / mean)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / mean)).otherwise(0.0)
 
-    parts = F.zip_with(a, b, lambda x, y: part(x / total_a, y / total_b))
+    shares = lambda c, total: F.transform(c, lambda x: x / total)
+    parts = F.zip_with(shares(a, total_a), shares(b, total_b), part)
     divergence = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2
     return F.when((total_a > 0) & (total_b > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def judge(docs: DataFrame, common: int = 20, max_languages: int = 1000, min_class_words: int = 20, min_word_words: int = 50,
-          max_class_distance: float = 0.15, max_word_distance: float = 0.5) -> DataFrame:
+          max_class_distance: float = 0.15, max_word_distance: float = 0.45) -> DataFrame:
     """Base counts, both distances and ``kept`` of every document.
 
     A distance is judged from ``min_class_words`` and ``min_word_words`` words on.
     """
-    rows = shared_rows(statistics(docs))
-    references = shared_rows(language_references(rows, common, max_languages))
-    known = references.select(F.col("lang").alias("known"))
-    keyed = rows.join(F.broadcast(known), F.col("lang") == F.col("known"), "left").withColumn(
-        "lang", F.coalesce("known", F.lit(ALL_LANGUAGES))).drop("known")
-    joined = keyed.join(F.broadcast(references), "lang", "left")
-    n = F.col("n_words")
-    hits = F.transform("common", lambda c: n - F.size(F.array_remove(F.col("words"), c)))
-    joined = joined.withColumn("__hits", hits)
-    joined = joined.withColumn("__own", F.concat("__hits", F.array(n - F.aggregate("__hits", F.lit(0).cast("long"), lambda a, x: a + x))))
+    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit(ALL_LANGUAGES)).alias("lang"), plain_text(F.col("text")).alias("text"))
+    ranks = shared_rows(common_words(rows, common, max_languages))
+    rows = shared_rows(statistics(rows, ranks, common))
+    references = shared_rows(language_references(rows, common))
+    joined = rows.join(F.broadcast(references), "lang", "left")
     joined = joined.withColumn("class_distance", jensen_shannon("classes", "ref_classes")).withColumn(
-        "word_distance", jensen_shannon("__own", "ref_words"))
+        "word_distance", jensen_shannon("hits", "ref_hits"))
+    n = F.col("n_words")
     far = ((n >= min_class_words) & (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance)
            | (n >= min_word_words) & (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
