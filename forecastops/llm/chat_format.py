@@ -93,23 +93,20 @@ def _turns(record: Column, layout: Layout) -> Column:
 def _parsed(records: DataFrame, column: str, layouts: Sequence[Layout]) -> DataFrame:
     rows = records.select(F.col(column).alias("record"), F.try_parse_json(F.col(column)).alias("parsed"))
     rows = rows.withColumn("fingerprint", fingerprint(F.col("parsed"), layouts))
-    name = F.lit(None).cast("string")
-    for layout in layouts:
-        name = F.when(F.col("fingerprint") == _digest(layout.paths()), F.lit(layout.name)).otherwise(name)
-    return rows.withColumn("layout", name)
+    names = F.create_map(*[F.lit(x) for layout in layouts for x in (_digest(layout.paths()), layout.name)])
+    return rows.withColumn("layout", names[F.col("fingerprint")])
 
 
 def canonical_turns(records: DataFrame, column: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """``conv_id``, ``turn``, ``role``, ``text`` and ``layout`` of every turn of the records that fit a layout."""
-    rows = _parsed(records, column, layouts).where(F.col("layout").isNotNull())
-    turns = F.lit(None).cast(TURNS)
+    rows = _parsed(records, column, layouts)
+    turns = F.when(F.lit(False), F.lit(None).cast(TURNS))
     for layout in layouts:
-        turns = F.when(F.col("layout") == layout.name, _turns(F.col("parsed"), layout)).otherwise(turns)
+        turns = turns.when(F.col("layout") == layout.name, _turns(F.col("parsed"), layout))
     rows = rows.select(F.try_variant_get("parsed", "$.conv_id", "bigint").alias("conv_id"), "layout", F.explode(turns).alias("t"))
+    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     role = plain_text(F.col("t.role"))
-    for alias, name in ROLE_NAMES.items():
-        role = F.when(F.col("t.role") == alias, F.lit(name)).otherwise(role)
-    return rows.select("conv_id", F.col("t.turn").alias("turn"), role.alias("role"), plain_text(F.col("t.text")).alias("text"), "layout")
+    return rows.select("conv_id", F.col("t.turn").alias("turn"), F.coalesce(names[role], role).alias("role"), plain_text(F.col("t.text")).alias("text"), "layout")
 
 
 def unmapped(records: DataFrame, column: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
