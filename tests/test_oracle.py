@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_point
+from forecastops.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 ROWS_ONLY = {"lr_coefficients", "cv_grid_search"}
@@ -15,20 +16,20 @@ def con():
 
 
 def test_every_query_has_sql_unless_sql_cannot_state_it():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == ROWS_ONLY
-    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES) <= set(entry_point.queries())
 
 
 def test_flagship(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
-    df = entry_point.queries()[name](spark, SF_DIR)
-    assert oracle.differences(df, con, entry_point.oracle_sql()[name]) == []
+    df = QUERIES[name](spark, SF_DIR)
+    assert oracle.differences(df, con, ORACLES[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_rows_only(spark, name):
-    assert entry_point.queries()[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SF_DIR).count() > 0
