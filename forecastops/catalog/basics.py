@@ -9,7 +9,7 @@ from forecastops import functions as fn
 from forecastops.catalog.registry import query
 from forecastops.catalog.tables import carrier_monthly, rounded, traffic_hourly
 from forecastops.operators.aggregates import sum_by
-from forecastops.operators.joins import prefix_columns, small_side
+from forecastops.operators.joins import prefix_columns, measured_side
 from forecastops.sources import readers, sinks, spines
 from forecastops.sources import standins as t
 from forecastops.session import scratch_path
@@ -105,7 +105,7 @@ def proj_alias(spark, d):
 FROM traffic x LEFT JOIN weather w ON x.date = w.date""")
 def proj_star_prefixed(spark, d):
     side = prefix_columns(t.weather(spark, d).withColumn("tmax_again", F.col("tmax")), "w_", keep=("date",))
-    return t.traffic(spark, d).join(small_side(side), "date", "left").select("*")
+    return t.traffic(spark, d).join(measured_side(side), "date", "left").select("*")
 
 
 @query("proj_quoted_names", """SELECT year, month, af AS coach_express_total, ao AS c_d_lines_total, nf AS north_line_total FROM carrier_monthly""")

@@ -15,7 +15,7 @@ from forecastops.catalog.tables import carrier_monthly, rounded, traffic_hourly
 from forecastops.operators import evaluate as ev
 from forecastops.operators import forecast as fc
 from forecastops.operators import segments as seg
-from forecastops.operators.ordered import with_positions
+from forecastops.operators import splits
 from forecastops.plans import pipelines as pl
 from forecastops.plans import reports as r
 from forecastops.sources import standins as t
@@ -48,14 +48,25 @@ def passenger_fit(spark, d):
 def lr_normal_equations(spark, d):
     """Residuals of a least-squares fit are orthogonal to every feature."""
     out = passenger_fit(spark, d)
-    levels = [n.removeprefix("facility_") for n in out.model.names if n.startswith("facility_")]
     rows = out.model.score(out.train.dropna(subset=W6), "p").withColumn("res", F.col("total_passengers") - F.col("p"))
-    inputs = {f"f{i}": F.col(c).cast("double") for i, c in enumerate(["time", *W6])}
-    inputs |= {f"l{i}": (F.col("facility") == v).cast("double") for i, v in enumerate(levels)}
-    sums = rows.agg(*[F.abs(F.sum(F.col("res") * x)).alias(n) for n, x in inputs.items()],
-                    *[F.sum(F.abs(F.col("total_passengers") * x)).alias(f"{n}_size") for n, x in inputs.items()])
-    bad = sum([(F.col(n) > 1e-6 * F.col(f"{n}_size")).cast("bigint") for n in inputs], F.lit(0).cast("bigint"))
-    return sums.select(F.lit(len(inputs)).cast("bigint").alias("features"), bad.alias("violations"))
+    inputs = {f"f{i}": F.col(c).cast("double") for i, c in enumerate(["time", *W6])} | {"one": F.lit(1.0)}
+    sums = rows.groupBy("facility").agg(*[F.sum(F.col("res") * x).alias(n) for n, x in inputs.items()],
+                                        *[F.sum(F.abs(F.col("total_passengers") * x)).alias(f"{n}_size") for n, x in inputs.items()])
+    off = lambda total, size: (F.abs(total) > 1e-6 * size).cast("bigint")
+    numeric = [n for n in inputs if n != "one"]
+    return sums.agg((F.lit(len(numeric)) + F.count(F.lit(1))).cast("bigint").alias("features"),
+                    (sum([off(F.sum(n), F.sum(f"{n}_size")) for n in numeric], F.lit(0)) + F.sum(off(F.col("one"), F.col("one_size")))).cast("bigint").alias("violations"))
+
+
+# Within each level, centred: the slope of one feature and what is left of each level's mean.
+@query("lr_category_effects", """WITH m AS (SELECT fac_g, AVG(total) AS my, AVG(class_1) AS mx FROM traffic_history GROUP BY fac_g),
+b AS (SELECT SUM((t.class_1 - m.mx) * (t.total - m.my)) / SUM((t.class_1 - m.mx) * (t.class_1 - m.mx)) AS slope FROM traffic_history t JOIN m ON m.fac_g = t.fac_g),
+e AS (SELECT fac_g, my - slope * mx AS effect FROM m, b)
+SELECT 'numeric' AS part, 'class_1' AS feature, ROUND(slope, 4) AS coefficient FROM b
+UNION ALL SELECT 'level', 'fac_g_' || fac_g, ROUND(effect - (SELECT AVG(effect) FROM e), 4) FROM e""")
+def lr_category_effects(spark, d):
+    fit = fc.fit_linear(t.traffic_history(spark, d).select("class_1", "total", "fac_g"), ["class_1"], "total", "fac_g")
+    return rounded(fit.table(spark), ["coefficient"])
 
 
 @query("lr_coefficients")
@@ -64,14 +75,18 @@ def lr_coefficients(spark, d):
 
 
 @query("fc_hourly_lr", """SELECT (SELECT COUNT(DISTINCT time) FROM traffic_history) * (SELECT COUNT(DISTINCT fac_g) FROM traffic_history) * 36 AS n,
-  CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing_between_years""")
+  CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing_between_years, (SELECT COUNT(DISTINCT fac_g) FROM traffic_history) AS means_kept""")
 def fc_hourly_lr(spark, d):
-    rows = passenger_fit(spark, d).forecast
+    """``means_kept`` counts the facilities whose mean prediction over the training rows is the mean of the label."""
+    out = passenger_fit(spark, d)
+    rows = out.forecast
+    means = out.model.score(out.train.dropna(subset=W6), "p").groupBy("facility").agg(F.avg("p").alias("p"), F.avg("total_passengers").alias("y"))
+    kept = means.agg(F.sum((F.abs(F.col("p") - F.col("y")) <= 1e-6 * F.abs(F.col("y"))).cast("bigint")).alias("means_kept"))
     p = fn.nan_to_null("predicted_passengers")
     cells = rows.groupBy("month", "time", "facility").agg(
         F.count(F.lit(1)).alias("n"), F.sum(p.isNull().cast("bigint")).alias("missing"), (F.max(p) - F.min(p)).alias("range"))
     return cells.agg(F.sum("n").alias("n"), F.sum("missing").alias("missing"),
-                     F.sum((F.col("range") > 1e-6).cast("bigint")).alias("differing_between_years"))
+                     F.sum((F.col("range") > 1e-6).cast("bigint")).alias("differing_between_years")).withColumn("means_kept", kept.scalar())
 
 
 # --- monthly series ----------------------------------------------------------------------------------
@@ -79,6 +94,13 @@ def fc_hourly_lr(spark, d):
 SMALL = fc.BoostParams(n_estimators=5, max_depth=3)
 
 
+def learned(rows, by, actual, predicted):
+    """Per group: whether the predictions of the training rows vary and beat the mean of the label."""
+    y, p = F.col(actual).cast("double"), F.col(predicted)
+    better = F.sum((y - p) * (y - p)) < F.var_pop(y) * F.count(y)
+    return rows.groupBy(by).agg((better & (F.count_distinct(p) > 1)).alias("learned"))
+
+
 def series_history(spark, d):
     rows = r.passengers_buses_weather(t.passenger_weekly(spark, d), t.bus_weekly(spark, d), t.weather(spark, d))
     rows = rows.select("year", "month", *[F.col(f"passenger_{c}").alias(c) for c in C6], *W6)
@@ -86,7 +108,7 @@ def series_history(spark, d):
 
 
 @query("fc_series_gbt", """SELECT s.series, CAST(24 AS BIGINT) AS n_future, (SELECT COUNT(DISTINCT month(start_date)) FROM passenger_weekly WHERE year(start_date) = 2000) AS n_eval,
-  CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS missing FROM (VALUES ('af'), ('ao'), ('nf'), ('no'), ('rf'), ('ro')) s(series)""")
+  CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS missing, true AS learned FROM (VALUES ('af'), ('ao'), ('nf'), ('no'), ('rf'), ('ro')) s(series)""")
 def fc_series_gbt(spark, d):
     out = pl.series_forecast(series_history(spark, d), C6, W6, 2000, "2002-01-01", "2003-12-01", [SMALL])
     held = F.col("forecast") / 1.1
@@ -95,24 +117,35 @@ def fc_series_gbt(spark, d):
         F.count(F.lit(1)).alias("n_future"), F.sum(outside.cast("bigint")).alias("outside"),
         F.sum(F.col("forecast").isNull().cast("bigint")).alias("missing"))
     back = out.actual_vs_predicted.groupBy("series").agg(F.count("predicted").alias("n_eval"))
-    return ahead.join(back, "series").select("series", "n_future", "n_eval", "outside", "missing")
+    fitted = learned(out.fitted, "series", "actual", "predicted")
+    return ahead.join(back, "series").join(fitted, "series").select("series", "n_future", "n_eval", "outside", "missing", "learned")
 
 
 @query("fc_history_union", """WITH h AS (SELECT DISTINCT CAST(year(start_date) AS INT) AS year, month(start_date) AS month FROM passenger_weekly)
-SELECT year, COUNT(*) AS n, COUNT(*) AS n_af, COUNT(*) AS n_tmax FROM h GROUP BY year
-UNION ALL SELECT CAST(y AS INT), CAST(12 AS BIGINT), CAST(12 AS BIGINT), CAST(12 AS BIGINT) FROM (SELECT unnest(range(2002, 2004)) AS y)""")
+SELECT year, COUNT(*) AS n, COUNT(*) AS n_af, COUNT(*) AS n_tmax, CAST(6 AS BIGINT) AS series_learned FROM h GROUP BY year
+UNION ALL SELECT CAST(y AS INT), CAST(12 AS BIGINT), CAST(12 AS BIGINT), CAST(12 AS BIGINT), CAST(6 AS BIGINT) FROM (SELECT unnest(range(2002, 2004)) AS y)""")
 def fc_history_union(spark, d):
     out = pl.series_forecast(series_history(spark, d), C6, W6, 2000, "2002-01-01", "2003-12-01", [SMALL], mode="pooled")
-    return out.combined.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("af").alias("n_af"), F.count("tmax").alias("n_tmax"))
+    ok = learned(out.fitted, "series", "actual", "predicted").agg(F.sum(F.col("learned").cast("bigint")).alias("series_learned"))
+    years = out.combined.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("af").alias("n_af"), F.count("tmax").alias("n_tmax"))
+    return years.withColumn("series_learned", ok.scalar())
 
 
-@query("cv_grid_search")
+@query("cv_grid_search", """WITH m AS (SELECT COUNT(*) AS n FROM (SELECT DISTINCT year(start_date), month(start_date) FROM passenger_weekly WHERE year(start_date) < 2000)),
+f AS (SELECT unnest([1, 2, 3]) AS fold), g AS (SELECT unnest([2, 3]) AS max_depth), s AS (SELECT unnest(['af','ao','nf','no','rf','ro']) AS series)
+SELECT series, CAST(max_depth AS INT) AS max_depth, CAST(fold AS INT) AS fold, n - (4 - fold) * (n // 4) AS n_train, n // 4 AS n_test,
+  true AS scored, true AS chosen_is_lowest FROM m, f, g, s""")
 def cv_grid_search(spark, d):
-    history = with_positions(series_history(spark, d).filter(F.col("year") < 2000), [], ["month_start"], F.year("month_start"))
-    grid = fc.param_grid(n_estimators=[3], max_depth=[2, 3])
-    best, scores = fc.time_series_cv(history, [*W6, "year", "month"], "af", "position", 2, grid)
-    rows = [(p.n_estimators, p.learning_rate, p.max_depth, fold, mse, p == best) for p, fold, mse in scores]
-    return spark.createDataFrame(rows, "n_estimators int, learning_rate double, max_depth int, fold int, mse double, best boolean")
+    """Every fold of every series and setting: its rows, and whether the setting chosen has the lowest mean error."""
+    history = series_history(spark, d).filter(F.col("year") < 2000)
+    grid = fc.param_grid(n_estimators=[5], max_depth=[2, 3])
+    best, scores = pl.search_series(history, [*W6, "year", "month"], C6, grid, 3)
+    mean = {(c, p): sum(e for s, q, _, e in scores if (s, q) == (c, p)) / 3 for c in C6 for p in grid}
+    rows = [(c, p.max_depth, fold, e > 0 and e < float("inf"), mean[c, best[c]] == min(mean[c, q] for q in grid)) for c, p, fold, e in scores]
+    table = spark.createDataFrame(rows, "series string, max_depth int, fold int, scored boolean, chosen_is_lowest boolean")
+    bounds = splits.expanding_folds(history.select(F.lit(1).alias("all")), ["all"], 3).select(
+        F.col("fold").cast("int").alias("fold"), F.col("train_end").cast("bigint").alias("n_train"), (F.col("test_end") - F.col("test_start")).cast("bigint").alias("n_test"))
+    return table.join(F.broadcast(bounds), "fold").select("series", "max_depth", "fold", "n_train", "n_test", "scored", "chosen_is_lowest")
 
 
 # Naive forecast: the same month one year before.
@@ -182,20 +215,28 @@ def seg_traffic_level(spark, d):
                    ((mean["Free"] <= mean["Moderate"]) & (mean["Moderate"] <= mean["Peak"])).alias("ascending"))
 
 
-MONTH_HASH = "('0x' || substr(md5('42|' || CAST(year AS VARCHAR) || '|' || CAST(month AS VARCHAR)), 1, 8))::BIGINT"
+@query("clf_random_forest", """WITH m AS (SELECT COUNT(*) AS n, CAST(ceil(COUNT(*) * 0.2) AS BIGINT) AS held FROM (SELECT DISTINCT year(start_date), month(start_date) FROM passenger_weekly))
+SELECT n - held AS n_train, held AS n_test, CAST(0 AS BIGINT) AS bad, CAST(5 AS BIGINT) AS report_rows, CAST(held AS DOUBLE) AS support, true AS learned FROM m""")
+def clf_random_forest(spark, d):
+    return forest_summary(pl.segment_and_classify(series_history(spark, d), C6, W6, ["year", "month"], stratified=False))
 
 
-@query("clf_random_forest", f"""WITH m AS (SELECT DISTINCT year(start_date) AS year, month(start_date) AS month FROM passenger_weekly)
-SELECT COUNT(*) FILTER ({MONTH_HASH} % 100 >= 20) AS n_train, COUNT(*) FILTER ({MONTH_HASH} % 100 < 20) AS n_test, CAST(0 AS BIGINT) AS bad,
-  CAST(5 AS BIGINT) AS report_rows, CAST(COUNT(*) FILTER ({MONTH_HASH} % 100 < 20) AS DOUBLE) AS support FROM m""")
-def clf_random_forest(spark, d):
-    out = pl.segment_and_classify(series_history(spark, d), C6, W6, ["year", "month"], stratified=False)
+@query("clf_random_forest_stratified", """WITH m AS (SELECT COUNT(*) AS n, CAST(ceil(COUNT(*) * 0.2) AS BIGINT) AS held FROM (SELECT DISTINCT year(start_date), month(start_date) FROM passenger_weekly))
+SELECT n - held AS n_train, held AS n_test, CAST(0 AS BIGINT) AS bad, CAST(5 AS BIGINT) AS report_rows, CAST(held AS DOUBLE) AS support, true AS learned FROM m""")
+def clf_random_forest_stratified(spark, d):
+    return forest_summary(pl.segment_and_classify(series_history(spark, d), C6, W6, ["year", "month"]))
+
+
+def forest_summary(out):
+    """``learned``: on the training rows the forest is right more often than the larger class is frequent."""
     n_all = out.labelled.agg(F.count(F.lit(1)).alias("n_all"))
     test = out.test.agg(F.count(F.lit(1)).alias("n_test"), F.sum((~F.col("prediction").isin(0, 1)).cast("bigint")).alias("bad"))
     report = out.report.agg(F.count(F.lit(1)).alias("report_rows"), F.max("support").alias("support"))
-    one = test.select("*", n_all.scalar().alias("n_all"), report.select("report_rows").scalar().alias("report_rows"),
+    hit, y = F.avg((F.col("prediction") == F.col("high_traffic")).cast("double")), F.avg(F.col("high_traffic").cast("double"))
+    better = out.train.agg((hit > F.greatest(y, 1 - y)).alias("learned"))
+    one = test.select("*", better.scalar().alias("learned"), n_all.scalar().alias("n_all"), report.select("report_rows").scalar().alias("report_rows"),
                       report.select("support").scalar().alias("support"))
-    return one.select((F.col("n_all") - F.col("n_test")).alias("n_train"), "n_test", "bad", "report_rows", "support")
+    return one.select((F.col("n_all") - F.col("n_test")).alias("n_train"), "n_test", "bad", "report_rows", "support", "learned")
 
 
 # A rule instead of a model: months from May to August are said to be busy.
@@ -216,12 +257,13 @@ def eval_class_report(spark, d):
 
 # --- hourly vehicles ---------------------------------------------------------------------------------
 
-@query("fc_facility_hourly", """SELECT facility, CAST(6 * 24 AS BIGINT) AS n, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS missing
+@query("fc_facility_hourly", """SELECT facility, CAST(6 * 24 AS BIGINT) AS n, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS missing, true AS learned
 FROM traffic_hourly WHERE ts < TIMESTAMP '2024-01-25' GROUP BY facility""")
 def fc_facility_hourly(spark, d):
     rows = t.traffic(spark, d).withColumn("time", (F.floor(F.col("time") / 100) * 100).cast("int"))
     hourly = pl.hourly_vehicles([rows], t.weather(spark, d), t.VEHICLES, W6)
     out = pl.facility_forecast(hourly, W6, "2024-01-24", "2024-01-25", "2024-01-30", fc.BoostParams(5, 0.05, 4))
     v = F.col("total_vehicles")
-    return out.forecast.groupBy("facility").agg(F.count(F.lit(1)).alias("n"), F.sum((v < 0).cast("bigint")).alias("negative"),
-                                                F.sum(v.isNull().cast("bigint")).alias("missing"))
+    ahead = out.forecast.groupBy("facility").agg(F.count(F.lit(1)).alias("n"), F.sum((v < 0).cast("bigint")).alias("negative"),
+                                                 F.sum(v.isNull().cast("bigint")).alias("missing"))
+    return ahead.join(learned(out.fitted, "facility", "label", "predicted"), "facility")

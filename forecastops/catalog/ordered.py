@@ -126,7 +126,8 @@ def split_chrono(spark, d):
 HASH = "('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT"
 
 
-@query("split_random", f"SELECT o_orderkey, CASE WHEN {HASH} % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM orders")
+@query("split_random", f"""WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY {HASH}, o_orderkey) AS rn, COUNT(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN rn > n - CAST(ceil(n * 0.2) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM h""")
 def split_random(spark, d):
     orders = readers.read_table(spark, f"{d}/orders.parquet").select("o_orderkey")
     return splits.split_random(orders, ["o_orderkey"])

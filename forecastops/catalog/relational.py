@@ -48,7 +48,7 @@ def join_left_derived(spark, d):
 @query("join_left_date", "SELECT h.date, h.lane, h.time, h.total, w.awnd, w.tmax FROM traffic_history h LEFT JOIN weather w ON h.date = w.date")
 def join_left_date(spark, d):
     side = t.weather(spark, d).select("date", "awnd", "tmax")
-    return t.traffic_history(spark, d).select("date", "lane", "time", "total").join(j.small_side(side), "date", "left")
+    return t.traffic_history(spark, d).select("date", "lane", "time", "total").join(j.measured_side(side), "date", "left")
 
 
 @query("join_month_text", """SELECT c.date, c.total, a.route, a.buses_count FROM carrier_daily c
@@ -56,8 +56,8 @@ JOIN terminal_a a ON strftime(c.date, '%Y-%m') = a.date""")
 def join_month_text(spark, d):
     left = t.carrier_daily(spark, d).select("date", "total")
     right = t.terminal_a(spark, d).select(F.col("date").alias("month_text"), "route", "buses_count")
-    keys = {"__month": (F.date_format("date", "yyyy-MM"), F.col("month_text"))}
-    return j.join_derived(left, right, keys, "inner").drop("__month", "month_text")
+    left, right = left.withColumn("__month", F.date_format("date", "yyyy-MM")), right.withColumnRenamed("month_text", "__month")
+    return j.spread_join(left, right, ["__month"], "inner").drop("__month")
 
 
 @query("join_star_month", """SELECT c.date, c.total, a.route AS a_route, a.buses_count AS a_buses_count, d.start_date AS d_start_date, d.bus_total AS d_bus_total
@@ -153,7 +153,7 @@ def agg_trycast_sum(spark, d):
 FROM traffic x LEFT JOIN weather w ON x.date = w.date GROUP BY x.facility, x.date, x.time // 100""")
 def agg_hourly_facility(spark, d):
     rows = t.traffic(spark, d).withColumns({"ts": fn.hour_start(fn.at_time("date", "time")), "total_vehicles": fn.row_total(V4)})
-    rows = rows.join(j.small_side(t.weather(spark, d)), "date", "left").drop("date", "time", "lane")
+    rows = rows.join(j.measured_side(t.weather(spark, d)), "date", "left").drop("date", "time", "lane")
     return rounded(hourly_by_facility(rows, [*V4, "total_vehicles"], W6), W6)
 
 

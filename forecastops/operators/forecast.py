@@ -7,15 +7,16 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecastops.functions import clip, keyed_normal
+from forecastops.operators.joins import small_side
 from forecastops.operators.quantiles import small_group_quantiles
+from forecastops.session import cut_lineage
 
-NORMAL_SOLVER_LIMIT = 4096  # features; beyond it the normal equations no longer fit one matrix
 MISSING_LEVEL = -1.0e9  # below every real value: trees send missing weather to the low side
 PARALLEL_FITS = 4
 
@@ -48,55 +49,61 @@ def param_grid(**choices: Sequence) -> list[BoostParams]:
 
 @dataclass
 class LinearFit:
-    """A fitted linear model over numeric features and one one-hot encoded category."""
+    """A fitted linear model over numeric features and, if asked for, one effect for each level of a category."""
 
     names: list[str]
     coefficients: list[float]
     intercept: float
     score: Callable[[DataFrame, str], DataFrame]
+    category: str | None = None
+    effects: DataFrame | None = None
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``feature, coefficient`` rows, largest first."""
-        rows = list(zip(self.names, self.coefficients))
-        return spark.createDataFrame(rows, "feature string, coefficient double").orderBy(F.desc("coefficient"))
-
-
-def fit_linear(train: DataFrame, features: Sequence[str], label: str, category: str | None = None) -> LinearFit:
-    """Least squares without penalty; every level of ``category`` keeps its own column.
-
-    Executors add up the cross-product matrix and the driver solves it once. With very many levels the
-    iterative solver takes over. Rows with a missing feature cannot be fitted and are left out.
+        """``part, feature, coefficient`` rows: numeric features, then the levels, each part largest first."""
+        rows = spark.createDataFrame(list(zip(self.names, self.coefficients)), "feature string, coefficient double")
+        rows = rows.select(F.lit("numeric").alias("part"), "feature", "coefficient")
+        if self.effects is not None:
+            level = F.concat(F.lit(f"{self.category}_"), F.col(self.category).cast("string")).alias("feature")
+            rows = rows.unionByName(self.effects.select(F.lit("level").alias("part"), level, F.col("__effect").alias("coefficient")))
+        return rows.orderBy(F.desc("part"), F.desc("coefficient"))
+
+
+def fit_linear(train: DataFrame, features: Sequence[str], label: str, category: str | None = None, solver: str = "normal") -> LinearFit:
+    """Least squares without penalty; every level of ``category`` has its own effect, and the effects sum to zero.
+
+    The category is absorbed: features and label are centred within each level by one grouped aggregate, the
+    numeric features alone are fitted, and a level's effect is what is left of its mean. That equals the fit with
+    one column for each level, at any number of levels. Rows with a missing feature cannot be fitted and are left
+    out; an unseen level is scored without an effect.
     """
     inputs = list(features)
     rows = train.dropna(subset=[*inputs, label] + ([category] if category else []))
-    stages: list[Callable[[DataFrame], DataFrame]] = []
-    names = list(inputs)
+    rows = rows.select(*([category] if category else []), *[F.col(c).cast("double").alias(c) for c in [*inputs, label]])
+    means = None
     if category:
-        indexer = StringIndexer(inputCol=category, outputCol="__i", stringOrderType="alphabetAsc",
-                                handleInvalid="keep").fit(rows)
-        levels = list(indexer.labels)
-        # The indexer's extra slot for unseen levels is the last one and is dropped, so an unseen level is all zero.
-        encoder = OneHotEncoder(inputCol="__i", outputCol="__o", dropLast=True).fit(
-            indexer.transform(rows.limit(0)))
-        stages += [indexer.transform, encoder.transform]
-        names += [f"{category}_{v}" for v in levels]
-        inputs = [*inputs, "__o"]
+        means = cut_lineage(rows.groupBy(category).agg(*[F.avg(c).alias(f"__m_{c}") for c in [*inputs, label]]))
+        rows = rows.join(small_side(means), category).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in [*inputs, label]])
     assembler = VectorAssembler(inputCols=inputs, outputCol="__x", handleInvalid="keep")
-    stages.append(assembler.transform)
+    model = LinearRegression(solver=solver, regParam=0.0, fitIntercept=category is None, featuresCol="__x", labelCol=label,
+                             predictionCol="__p").fit(assembler.transform(rows))
+    coefficients, intercept, effects = [float(c) for c in model.coefficients], float(model.intercept), None
 
-    def prepare(df: DataFrame) -> DataFrame:
-        for stage in stages:
-            df = stage(df)
-        return df.drop("__i", "__o")
+    def linear(prefix: str = "") -> Column:
+        return sum((F.col(f"{prefix}{c}").cast("double") * w for c, w in zip(inputs, coefficients)), F.lit(0.0))
 
-    solver = "normal" if len(names) <= NORMAL_SOLVER_LIMIT else "l-bfgs"
-    model = LinearRegression(solver=solver, regParam=0.0, featuresCol="__x", labelCol=label,
-                             predictionCol="__p").fit(prepare(rows))
+    if category:
+        raw = means.select(category, (F.col(f"__m_{label}") - linear("__m_")).alias("__effect"))
+        intercept = float(raw.agg(F.avg("__effect")).first()[0] or 0.0)
+        effects = cut_lineage(raw.withColumn("__effect", F.col("__effect") - intercept))
 
     def score(df: DataFrame, name: str = "predicted") -> DataFrame:
-        return model.transform(prepare(df)).drop("__x").withColumnRenamed("__p", name)
+        value = linear() + intercept
+        if effects is None:
+            return df.withColumn(name, value)
+        joined = df.join(small_side(effects), category, "left")
+        return joined.withColumn(name, value + F.coalesce("__effect", F.lit(0.0))).drop("__effect")
 
-    return LinearFit(names, [float(c) for c in model.coefficients], float(model.intercept), score)
+    return LinearFit(inputs, coefficients, intercept, score, category, effects)
 
 
 def tree_vector(df: DataFrame, features: Sequence[str], name: str = "__x") -> DataFrame:
@@ -127,7 +134,8 @@ def fit_many(train: DataFrame, features: Sequence[str], labels: Sequence[str], p
     The series are the columns of a wide table, so their number is fixed by the schema. The feature
     vector is built and kept once for all fits.
     """
-    rows = tree_vector(train, features).select("__x", *[F.col(c).cast("double").alias(c) for c in labels]).persist()
+    # A wide monthly table is bounded by the calendar; in one partition each boosting step is one task.
+    rows = tree_vector(train, features).select("__x", *[F.col(c).cast("double").alias(c) for c in labels]).coalesce(1).persist()
     try:
         def one(c):
             return params[c].estimator("__x", c, f"{c}__p").fit(rows.filter(F.col(c).isNotNull()))
@@ -147,16 +155,16 @@ def fit_many(train: DataFrame, features: Sequence[str], labels: Sequence[str], p
 
 
 def time_series_cv(df: DataFrame, features: Sequence[str], label: str, position: str, n_splits: int,
-                   grid: Sequence[BoostParams]) -> tuple[BoostParams, list[tuple[BoostParams, int, float]]]:
+                   grid: Sequence[BoostParams], monthly: bool = False) -> tuple[BoostParams, list[tuple[BoostParams, int, float]]]:
     """Expanding-window search: every fold trains on rows before its test block only.
 
     Returns the setting with the lowest mean squared error over the folds, and the error of every fold.
-    ``position`` is the dense 0-based order. Scores are one number per fit.
+    ``position`` is the dense 0-based order; rows of several series may share one. Scores are one number per fit.
     """
     rows = tree_vector(df.dropna(subset=[label]), features).select(
-        "__x", F.col(label).cast("double").alias("__y"), F.col(position).alias("__pos")).persist()
+        "__x", F.col(label).cast("double").alias("__y"), F.col(position).alias("__pos")).coalesce(1 if monthly else 32).persist()
     try:
-        n = rows.count()
+        n = (rows.agg(F.max("__pos")).first()[0] or 0) + 1
         size = n // (n_splits + 1)
         starts = [n - (n_splits + 1 - i) * size for i in range(1, n_splits + 1)]
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from forecastops.functions import (at_time, clip, day_type, hhmm_hour, hhmm_number, hhmm_text, is_weekend, keyed_normal,
                                    row_total, time_text, to_number, weekday_monday0, zero_to_null)
 from forecastops.operators.aggregates import group_keyed
-from forecastops.operators.joins import calendar_side
+from forecastops.operators.joins import calendar_side, measured_side, small_side
 from forecastops.operators.quantiles import exact_quantiles
+from forecastops.session import cut_lineage
 
-MAX_SEASONS = 366
+CALENDAR_PARTS = ("month", "week", "day_of_week", "day_of_year", "hour", "year")
 
 
 def reshape_hourly(df: DataFrame, vehicles: Sequence[str], date: str = "date", time: str = "time",
@@ -69,12 +70,13 @@ def _wide_medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix:
 class SeasonalImputer:
     """Fill values per season and column, plus one overall value per column.
 
-    The table of seasons is as small as the calendar part it is keyed by, so filling is a lookup in a
-    literal map: no join and no shuffle.
+    The seasons are a written table of one row each, joined by their key: a broadcast while it is small,
+    as for calendar parts, and a shuffled join for keys of any other kind.
     """
 
     by: str
-    seasons: Mapping[str, Mapping[object, float]]
+    cols: Sequence[str]
+    seasons: DataFrame | None
     overall: Mapping[str, float]
     zero_is_missing: bool
 
@@ -83,20 +85,16 @@ class SeasonalImputer:
             value = F.col(c).cast("double")
             return (zero_to_null(value) if self.zero_is_missing else value).alias(c)
 
-        return df.select([clean(c) if c in self.seasons else F.col(c) for c in df.columns])
-
-    def _season_value(self, c: str) -> Column:
-        known = self.seasons[c]
-        if not known:
-            return F.lit(None).cast("double")
-        pairs = [x for season, value in known.items() for x in (F.lit(season), F.lit(value))]
-        return F.try_element_at(F.create_map(*pairs), F.col(self.by))
+        return df.select([clean(c) if c in self.cols else F.col(c) for c in df.columns])
 
     def fill_seasons(self, df: DataFrame) -> DataFrame:
         """The first step alone: seasonal values only."""
         base = self._base(df)
-        return base.select([F.coalesce(F.col(c), self._season_value(c)).alias(c) if c in self.seasons else F.col(c)
-                            for c in base.columns])
+        if self.seasons is None:
+            return base
+        values = self.seasons.select(F.col(self.by), *[F.col(c).alias(f"__s_{c}") for c in self.cols])
+        joined = base.join(small_side(values), self.by, "left")
+        return joined.select([F.coalesce(F.col(c), F.col(f"__s_{c}")).alias(c) if c in self.cols else F.col(c) for c in base.columns])
 
     def transform(self, df: DataFrame) -> DataFrame:
         filled = self.fill_seasons(df)
@@ -104,38 +102,46 @@ class SeasonalImputer:
                               else F.col(c) for c in filled.columns])
 
 
-def fit_seasonal_imputer(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str = "median",
+def fit_seasonal_imputer(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str | Mapping[str, str] = "median",
                          zero_is_missing: bool = True, fit_filter: Column | None = None,
                          monthly: bool = False) -> SeasonalImputer:
     """Learn the fill values: the statistic of each season, then that of the seasonally filled column.
 
-    ``by`` is a calendar part of at most 366 values. ``fit_filter`` limits the rows the statistics are taken
-    from (all rows by default, hold-out included). ``monthly`` says that the table has one row per month.
-    The overall statistic takes a second pass, made only for columns in which some season has no value.
+    ``stat`` is ``median`` or ``mean`` for all columns, or one of them for each. ``fit_filter`` limits the rows the
+    statistics are taken from (all rows by default, hold-out included). ``monthly`` says that the table has one row
+    per month. The overall statistic takes a second pass, made only for columns in which some season has no value.
     """
     cols = list(cols)
-
-    def statistics(rows, keys):
-        if stat == "median":
-            return _wide_medians(rows, keys, cols, "", monthly)
-        return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
-
-    blank = SeasonalImputer(by, {c: {} for c in cols}, {}, zero_is_missing)
+    kind = {c: stat if isinstance(stat, str) else stat[c] for c in cols}
+
+    def statistics(rows, keys, cols):
+        means = [F.avg(c).alias(c) for c in cols if kind[c] != "median"]
+        medians = [c for c in cols if kind[c] == "median"]
+        if monthly or not medians:
+            return rows.groupBy(*keys).agg(*means, *[F.median(c).alias(c) for c in medians])
+        middle = _wide_medians(rows, keys, medians, "", monthly)
+        if not means:
+            return middle
+        side = rows.groupBy(*keys).agg(*means)
+        if not keys:
+            return middle.crossJoin(side)  # one row each
+        pairs = side.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in cols if kind[c] != "median"])
+        match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        return middle.join(pairs, match, "full").select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], *cols)
+
+    blank = SeasonalImputer(by, cols, None, {}, zero_is_missing)
     fit = df.filter(fit_filter) if fit_filter is not None else df
-    rows = statistics(blank._base(fit), [by]).limit(MAX_SEASONS + 1).collect()
-    if len(rows) > MAX_SEASONS:
-        raise ValueError(f"{by} has more than {MAX_SEASONS} values and is no calendar part")
-    seasons = {c: {r[by]: r[c] for r in rows if r[by] is not None and r[c] is not None} for c in cols}
-    first = SeasonalImputer(by, seasons, {}, zero_is_missing)
+    rows = cut_lineage(statistics(blank._base(fit), [by], cols))
+    first = SeasonalImputer(by, cols, rows.filter(F.col(by).isNotNull()), {}, zero_is_missing)
 
     # A season without a value, a missing season or one outside the fitted rows needs the overall value.
-    open_ended = fit_filter is not None or any(r[by] is None for r in rows)
-    cols = [c for c in cols if open_ended or any(r[c] is None for r in rows)]
-    overall = statistics(first.fill_seasons(fit), []).first().asDict() if cols else {}
-    return SeasonalImputer(by, seasons, overall, zero_is_missing)
+    gaps = rows.agg(F.coalesce(F.bool_or(F.col(by).isNull()), F.lit(True)).alias("__any"), *[F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(True)).alias(c) for c in cols]).first()
+    needed = [c for c in cols if fit_filter is not None or gaps["__any"] or gaps[c]]
+    overall = statistics(first.fill_seasons(fit), [], needed).first().asDict() if needed else {}
+    return SeasonalImputer(by, cols, first.seasons, overall, zero_is_missing)
 
 
-def impute_seasonal(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str = "median",
+def impute_seasonal(df: DataFrame, cols: Sequence[str], by: str = "month", stat: str | Mapping[str, str] = "median",
                     zero_is_missing: bool = True, fit_filter: Column | None = None, monthly: bool = False) -> DataFrame:
     """Fit a seasonal imputer on ``df`` and apply it; see :func:`fit_seasonal_imputer`."""
     return fit_seasonal_imputer(df, cols, by, stat, zero_is_missing, fit_filter, monthly).transform(df)
@@ -147,8 +153,9 @@ def climatology(df: DataFrame, cols: Sequence[str], by: str = "month") -> DataFr
 
 
 def attach_climatology(spine: DataFrame, history: DataFrame, cols: Sequence[str], by: str = "month") -> DataFrame:
-    """Future rows with the seasonal means of the history; one small table joined by calendar part."""
-    return spine.join(calendar_side(climatology(history, cols, by)), by, "left")
+    """Future rows with the seasonal means of the history, joined by calendar part or by another, measured, key."""
+    means = climatology(history, cols, by)
+    return spine.join(calendar_side(means) if by in CALENDAR_PARTS else measured_side(means), by, "left")
 
 
 def jitter(df: DataFrame, history: DataFrame, cols: Sequence[str], key: Column, share: float = 0.05,

@@ -80,7 +80,7 @@ def cluster_series(df: DataFrame, cols: Sequence[str], k: int = 3, seeds: Sequen
     return scaled.withColumn(name, nearest_centre(z, centres, list(range(len(centres)))))
 
 
-def traffic_level(df: DataFrame, value: str = "total_vehicles", hour: str = "hour", seeds: Sequence[int] = range(3),
+def traffic_level(df: DataFrame, value: str = "total_vehicles", hour: str = "hour", seeds: Sequence[int] = range(10),
                   name: str = "traffic_level") -> DataFrame:
     """Three levels by k-means on standardised volume and hour.
 
@@ -149,4 +149,5 @@ def code_labels(c: str, labels: Mapping[object, str]) -> Column:
 
 
 def strip_prefix(c: str, prefix: str) -> Column:
-    return F.when(F.startswith(F.col(c), F.lit(prefix)), F.substring(F.col(c), len(prefix) + 1, 1_000)).otherwise(F.col(c))
+    """Text without ``prefix`` where it begins with it, however long it is."""
+    return F.when(F.startswith(F.col(c), F.lit(prefix)), F.substr(F.col(c), F.lit(len(prefix) + 1))).otherwise(F.col(c))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forecastops.functions import hash_number, hash_share
+from forecastops.functions import hash_number
 from forecastops.operators.joins import measured_side
 
 HASH_SLICE = 2**16
@@ -54,10 +54,12 @@ def split_chronological(df: DataFrame, keys: Sequence[str], ts: str, slice_by: C
     return out.withColumn(name, F.when(F.col("__train"), "train").otherwise("valid")).drop("__train")
 
 
-def split_random(df: DataFrame, key: Sequence[str], percent: int = 20, seed: int = 42, name: str = "split") -> DataFrame:
-    """``test`` for about ``percent`` % of rows, decided by a hash of the row key. Needs no shuffle."""
-    in_test = hash_share(percent, F.lit(str(seed)), *[F.col(k) for k in key])
-    return df.withColumn(name, F.when(in_test, "test").otherwise("train"))
+def split_random(df: DataFrame, key: Sequence[str], test_share: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
+    """Exactly ``ceil(share * n)`` test rows: the last ones in the order of a hash of the row key."""
+    key = list(key)
+    rows = df.withColumn("__h", hash_number(F.lit(str(seed)), *[F.col(k) for k in key])).withColumn("__all", F.lit(1))
+    out = split_at_rank(rows, ["__all"], ["__h", *key], F.floor(F.col("__h") / HASH_SLICE), lambda n: n - F.ceil(n * F.lit(test_share)), name="__train")
+    return out.withColumn(name, F.when(F.col("__train"), "train").otherwise("test")).drop("__train", "__h", "__all")
 
 
 def split_stratified(df: DataFrame, label: str, key: Sequence[str], test_share: float = 0.2, seed: int = 42,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,16 +14,16 @@ from forecastops.functions import day_type, row_total_strict, time_text, week_bu
 from forecastops.operators.aggregates import group_keyed, pivot_sum, union_all
 from forecastops.operators.compare import calendar_cube, recovery_summary, year_pair
 from forecastops.operators.evaluate import actual_vs_predicted, class_report, forecast_metrics
-from forecastops.operators.forecast import (BoostParams, LinearFit, counts_from_log, fit_boosted, fit_linear, fit_many, log_target,
+from forecastops.operators.forecast import (PARALLEL_FITS, BoostParams, LinearFit, counts_from_log, fit_boosted, fit_linear, fit_many, log_target,
                                             param_grid, season_adjust, series_bounds, time_series_cv)
-from forecastops.operators.joins import calendar_side, measured_side, small_side
+from forecastops.operators.joins import calendar_side, measured_side
 from forecastops.operators.ordered import interpolate_linear, lag_features, top_k, with_positions
 from forecastops.operators.prepare import attach_climatology, hourly_by_facility, hourly_features, impute_seasonal, jitter
 from forecastops.operators.quantiles import iqr_filter
 from forecastops.operators.segments import cluster_series, day_type_profile, fit_forest, high_traffic, tercile_tiers
 from forecastops.operators.splits import split_chronological, split_random, split_stratified
 from forecastops.session import cut_lineage
-from forecastops.sources.spines import future_grid, month_spine, series_hours, series_months
+from forecastops.sources.spines import day_hours, future_grid, month_spine, series_days, series_months
 
 
 # --- hourly passengers by linear regression ----------------------------------------------------------
@@ -79,6 +80,8 @@ class SeriesForecast:
 
     history: DataFrame
     params: Mapping[str, BoostParams]
+    fold_scores: Sequence[tuple]
+    fitted: DataFrame
     actual_vs_predicted: DataFrame
     metrics: DataFrame
     forecast: DataFrame
@@ -93,9 +96,8 @@ def prepare_series(df: DataFrame, series: Sequence[str], weather: Sequence[str],
     every fit that follows reads it.
     """
     rows = cut_lineage(df.withColumn("month_start", make_month_start("year", "month")))
-    rules = {"zero_is_missing": zero_is_missing, "fit_filter": fit_filter, "monthly": True}
-    rows = impute_seasonal(rows, weather, stat="median", **rules)
-    return cut_lineage(impute_seasonal(rows, series, stat="mean", **rules))
+    stat = {c: "median" for c in weather} | {c: "mean" for c in series}
+    return cut_lineage(impute_seasonal(rows, [*weather, *series], stat=stat, zero_is_missing=zero_is_missing, fit_filter=fit_filter, monthly=True))
 
 
 def future_weather(history: DataFrame, weather: Sequence[str], first_month: str, last_month: str, share: float = 0.05,
@@ -105,14 +107,15 @@ def future_weather(history: DataFrame, weather: Sequence[str], first_month: str,
     return jitter(attach_climatology(spine, history, weather), history, weather, F.col("month_start"), share, seed)
 
 
-def _search(train: DataFrame, features, series, grid, n_splits) -> dict[str, BoostParams]:
-    if len(grid) == 1:
-        return {c: grid[0] for c in series}
+def search_series(train: DataFrame, features, series, grid, n_splits) -> tuple[dict[str, BoostParams], list[tuple]]:
+    """Best setting of each series, and ``(series, setting, fold, error)`` of every fit."""
     placed = with_positions(train, [], ["month_start"], F.year("month_start")).persist()
     try:
-        return {c: time_series_cv(placed, features, c, "position", n_splits, grid)[0] for c in series}
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            found = list(pool.map(lambda c: time_series_cv(placed, features, c, "position", n_splits, grid, monthly=True), series))
     finally:
         placed.unpersist()
+    return {c: best for c, (best, _) in zip(series, found)}, [(c, *s) for c, (_, scores) in zip(series, found) for s in scores]
 
 
 def _long(df: DataFrame, series: Sequence[str], weather: Sequence[str]) -> DataFrame:
@@ -127,28 +130,38 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
 
     ``history`` comes from :func:`prepare_series`. Models train on the years before ``holdout_year`` and
     are scored on that year. ``per_series`` fits one model per column, each with the best setting of
-    ``grid``; ``pooled`` fits a single model over all series, scaled by their level, which is the way for
-    very many series since the work no longer grows with one job per series.
+    ``grid``; ``pooled`` searches and fits a single model over all series, scaled by their level (1 where the
+    level is smaller), which is the way for very many series since the work no longer grows with one job per
+    series. ``fitted`` holds the training rows with their predictions.
     """
     features = [*weather, "year", "month"]
     train, holdout = history.filter(F.col("year") < holdout_year), history.filter(F.col("year") == holdout_year)
     future = future_weather(history, weather, first_month, last_month, seed=seed)
 
     if mode == "per_series":
-        params = _search(train, features, series, list(grid), n_splits)
+        params, scores = search_series(train, features, series, list(grid), n_splits)
         score = fit_many(train, features, series, params)
-        pairs = actual_vs_predicted(score(holdout), ["month_start"], {c: (c, f"{c}__p") for c in series})
+        columns = {c: (c, f"{c}__p") for c in series}
+        pairs = actual_vs_predicted(score(holdout), ["month_start"], columns)
+        fitted = actual_vs_predicted(score(train), ["month_start"], columns)
         predicted = score(future).unpivot(["month_start"], [f"{c}__p" for c in series], "series", "predicted")
         predicted = predicted.withColumn("series", F.expr("substring(series, 1, length(series) - 3)"))
     elif mode == "pooled":
-        params = {c: grid[0] for c in series}
         long = _long(train, series, weather)
-        levels = measured_side(long.groupBy("series").agg(F.avg("value").alias("level")).filter(F.col("level") > 0))
-        scaled = long.join(levels, "series").withColumn("label", F.col("value") / F.col("level"))
-        score = fit_boosted(scaled, [*features, "level"], "label", grid[0])
+        # Every series of the table keeps its row, also one that is zero, negative or empty while training.
+        level = F.greatest(F.abs(F.coalesce(F.avg("value"), F.lit(0.0))), F.lit(1.0))
+        levels = measured_side(_long(history, series, weather).select("series").distinct().join(
+            long.groupBy("series").agg(level.alias("level")), "series", "left").na.fill(1.0, ["level"]))
+        months = with_positions(train.select("month_start").distinct(), [], ["month_start"], F.year("month_start"))
+        scaled = long.join(levels, "series").join(calendar_side(months), "month_start")
+        scaled = cut_lineage(scaled.withColumn("label", F.col("value") / F.col("level")))
+        best, found = time_series_cv(scaled, [*features, "level"], "label", "position", n_splits, list(grid))
+        params, scores = {c: best for c in series}, [("all", *s) for s in found]
+        score = fit_boosted(scaled, [*features, "level"], "label", best)
         back = F.col("p") * F.col("level")
-        pairs = score(_long(holdout, series, weather).join(levels, "series"), "p").select(
-            "month_start", "series", F.col("value").alias("actual"), back.alias("predicted"))
+        outcome = ["month_start", "series", F.col("value").alias("actual"), back.alias("predicted")]
+        pairs = score(_long(holdout, series, weather).join(levels, "series"), "p").select(*outcome)
+        fitted = score(scaled, "p").select(*outcome)
         ahead = series_months(levels, first_month, last_month).drop("year", "month")
         predicted = score(ahead.join(calendar_side(future), "month_start"), "p").select("month_start", "series", back.alias("predicted"))
     else:
@@ -159,7 +172,7 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
     wide = pivot_sum(forecast, ["month_start"], "series", {c: c for c in series}, "forecast")
     wide = wide.join(calendar_side(future), "month_start").select("month_start", "year", "month", *series, *weather)
     past = history.select("month_start", "year", "month", *[F.col(c).cast("double").alias(c) for c in series], *weather)
-    return SeriesForecast(history, params, pairs, forecast_metrics(pairs, ["series"]), forecast, past.unionByName(wide))
+    return SeriesForecast(history, params, scores, fitted, pairs, forecast_metrics(pairs, ["series"]), forecast, past.unionByName(wide))
 
 
 # --- segments and high-traffic months ----------------------------------------------------------------
@@ -167,12 +180,13 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
 @dataclass
 class Segments:
     labelled: DataFrame
+    train: DataFrame
     test: DataFrame
     report: DataFrame
 
 
 def segment_and_classify(history: DataFrame, series: Sequence[str], weather: Sequence[str], key: Sequence[str],
-                         stratified: bool = True, trees: int = 100, depth: int = 5, seed: int = 42) -> Segments:
+                         stratified: bool = True, trees: int = 100, depth: int = 30, seed: int = 42) -> Segments:
     """Cluster months by their series, flag the top quarter by total and classify the flag by weather and calendar."""
     labelled = high_traffic(cluster_series(history, series), series, monthly=True)
     if stratified:
@@ -180,18 +194,17 @@ def segment_and_classify(history: DataFrame, series: Sequence[str], weather: Seq
     else:
         parted = split_random(labelled, key, seed=seed)
     features = [*weather, "year", "month"]
-    score = fit_forest(parted.filter(F.col("split") == "train"), features, "high_traffic", trees, depth, seed)
+    train = parted.filter(F.col("split") == "train")
+    score = fit_forest(train, features, "high_traffic", trees, depth, seed)
     test = score(parted.filter(F.col("split") == "test"))
-    return Segments(labelled, test, class_report(test, "high_traffic"))
+    return Segments(labelled, score(train), test, class_report(test, "high_traffic"))
 
 
 # --- hourly vehicles per facility --------------------------------------------------------------------
 
-PER_FACILITY_LIMIT = 50
-
-
 @dataclass
 class FacilityForecast:
+    fitted: DataFrame
     validation: DataFrame
     rmse: DataFrame
     forecast: DataFrame
@@ -205,7 +218,8 @@ def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: st
     Outliers are fenced per facility, counts are modelled on the log scale, the last fifth of each
     facility's hours validates, and every hour of the horizon is scored with the facility's mean weather
     of that month. ``pooled`` fits one model over all facilities with the facility's mean level as a
-    feature; ``per_facility`` fits one model each and is meant for a handful of facilities.
+    feature (taken from its training rows); ``per_facility`` fits one model each, a few at a time. Facilities
+    without training rows are skipped.
     """
     day_end = F.date_add(F.lit(train_until).cast("date"), 1).cast("timestamp_ntz")
     train = iqr_filter(hourly.filter(F.col("ts") < day_end), ["facility"], value)
@@ -214,37 +228,40 @@ def facility_forecast(hourly: DataFrame, weather: Sequence[str], train_until: st
     # Read by the split, the levels, the seasonal weather and the fit: written out once.
     train = cut_lineage(train)
     # A week slices a facility into at most 168 rows.
-    parted = split_chronological(train, ["facility"], "ts", week_bucket("ts"))
+    parted = cut_lineage(split_chronological(train, ["facility"], "ts", week_bucket("ts")))
     features = ["hour", *weather, "day_of_week", "month", "year"]
-    levels = measured_side(train.groupBy("facility").agg(F.avg("label").alias("level")))
+    levels = measured_side(parted.filter(F.col("split") == "train").groupBy("facility").agg(F.avg("label").alias("level")))
+    # The weather of a facility and month joins its days; the hours are spread out afterwards.
     seasonal = train.groupBy("facility", "month").agg(*[F.avg(c).alias(c) for c in weather])
-    ahead = series_hours(levels, first_day, last_day).withColumns(
+    ahead = series_days(levels, first_day, last_day).withColumns(
         {"day_of_week": weekday_monday0("date"), "month": F.month("date"), "year": F.year("date")})
-    ahead = ahead.join(seasonal, ["facility", "month"], "left")
+    ahead = day_hours(ahead.join(seasonal, ["facility", "month"], "left"))
 
     if mode == "pooled":
         leveled = parted.join(levels, "facility")
         score = fit_boosted(leveled.filter(F.col("split") == "train"), [*features, "level"], "label", params)
-        validation, scored = score(leveled.filter(F.col("split") == "valid")), score(ahead)
+        scored_rows, scored = score(leveled), score(ahead)
     elif mode == "per_facility":
-        names = [r[0] for r in levels.select("facility").sort("facility").limit(PER_FACILITY_LIMIT + 1).collect()]
-        if len(names) > PER_FACILITY_LIMIT:
-            raise ValueError(f"more than {PER_FACILITY_LIMIT} facilities: use mode='pooled'")
-        validation = scored = None
-        for name in names:
+        ahead = cut_lineage(ahead)
+        names = [r[0] for r in levels.select("facility").sort("facility").collect()]
+
+        def one(name):
             own = parted.filter(F.col("facility") == name)
             score = fit_boosted(own.filter(F.col("split") == "train"), features, "label", params)
-            v, s = score(own.filter(F.col("split") == "valid")), score(ahead.filter(F.col("facility") == name))
-            validation = v if validation is None else validation.unionByName(v)
-            scored = s if scored is None else scored.unionByName(s)
+            return score(own), score(ahead.filter(F.col("facility") == name))
+
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            both = list(pool.map(one, names))
+        scored_rows, scored = (union_all([cut_lineage(pair[k]) for pair in both]) for k in (0, 1))
     else:
         raise ValueError(f"unknown mode {mode}")
 
+    fitted, validation = (scored_rows.filter(F.col("split") == part) for part in ("train", "valid"))
     error = F.col("label") - F.col("predicted")
     rmse = validation.groupBy("facility").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n"))
     forecast = scored.select("date", time_text("ts").alias("time"), "facility",
                              counts_from_log("predicted").alias(value), "ts", "hour")
-    return FacilityForecast(validation, rmse, forecast)
+    return FacilityForecast(fitted, validation, rmse, forecast)
 
 
 # --- hourly vehicles from raw files to busiest hours -------------------------------------------------
@@ -256,7 +273,7 @@ def hourly_vehicles(raw: Sequence[DataFrame], weather: DataFrame, vehicles: Sequ
     profiles and comparisons all start from it.
     """
     rows = hourly_features(union_all(list(raw)), vehicles).drop("hour", "day", "month", "year", "dayofweek", "is_weekend")
-    rows = rows.join(small_side(weather.select("date", *weather_cols)), "date", "left")
+    rows = rows.join(measured_side(weather.select("date", *weather_cols)), "date", "left")
     rows = rows.select("facility", "ts", *vehicles, "total_vehicles", *weather_cols)
     return cut_lineage(hourly_by_facility(rows, [*vehicles, "total_vehicles"], weather_cols))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from forecastops.functions import month_key, month_text, to_count, to_number, valid_month_text, year_text
 from forecastops.operators.aggregates import max_by_group, sum_by
-from forecastops.operators.joins import (calendar_side, join_sums, prefix_columns, right_join_chain, small_side, spine_join,
-                                         star_join)
+from forecastops.operators.joins import (calendar_side, join_sums, measured_side, prefix_columns, right_join_chain, spine_join,
+                                         spread_join, star_join)
 from forecastops.operators.ordered import first_per_group
 from forecastops.sources.standins import CARRIERS, WEATHER
 
@@ -149,7 +149,7 @@ def carriers_with_terminal_rows(carrier: DataFrame, terminal: DataFrame, carrier
     """Report 7: the joined rows of report 6."""
     left = _year_month(carrier, "date").select(*MONTH, *carriers, total, month_key("date").alias("__month"))
     right = terminal.select(F.col("date").alias("__month"), "buses_count", "passengers_count")
-    return left.join(right, "__month").drop("__month")
+    return spread_join(left, right, ["__month"], "inner").drop("__month")
 
 
 def four_table_star(carrier: DataFrame, terminal_b: DataFrame, terminal_a: DataFrame, departures: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def traffic_with_weather(traffic: DataFrame, weather: DataFrame, cols: Sequence[
     """Report 11: traffic rows with the weather of their day. The daily table is broadcast once its size
     has been checked; otherwise both sides are sorted by date and hot dates are split."""
     side = prefix_columns(weather.select("date", *cols), "w_", keep=("date",))
-    return traffic.join(small_side(side), "date", "left")
+    return traffic.join(measured_side(side), "date", "left")
 
 
 def traffic_with_weather_chosen(traffic: DataFrame, weather: DataFrame) -> DataFrame:
@@ -204,19 +204,16 @@ def traffic_month_summary(traffic: DataFrame, weather: DataFrame) -> DataFrame:
     averaged_w, summed_w = ["awnd", "tmax", "tmin"], ["prcp", "snow", "snwd"]
     t_sums = ({c: F.col(c).cast("bigint") for c in [*averaged_t, *summed_t]} | {f"n_{c}": present(c) for c in averaged_t})
     w_sums = {c: F.col(c) for c in [*averaged_w, *summed_w]} | {f"n_{c}": present(c) for c in averaged_w}
-    days = join_sums(traffic, weather, ["date"], t_sums, w_sums, "left")
-    months = _year_month(days, "date").groupBy(*MONTH).agg(
-        F.sum("joined_rows").alias("record_count"), *[F.sum(c).alias(c) for c in [*t_sums, *w_sums]])
-    samples = _year_month(traffic, "date").groupBy(*MONTH).agg(
-        *[F.max(c).alias(f"sample_{c}") for c in ("fac_b", "fac_g", "day_name")])
-    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in MONTH]
-    joined = months.alias("m").join(calendar_side(samples.alias("s")), same[0] & same[1])
+    samples = {f"sample_{c}": F.col(c) for c in ("fac_b", "fac_g", "day_name")}
+    days = join_sums(traffic, weather, ["date"], t_sums, w_sums, "left", samples)
+    joined = _year_month(days, "date").groupBy(*MONTH).agg(
+        F.sum("joined_rows").alias("record_count"), *[F.sum(c).alias(c) for c in [*t_sums, *w_sums]], *[F.max(c).alias(c) for c in samples])
 
     def mean(c, name):
         return F.try_divide(F.col(c).cast("double"), F.col(f"n_{c}")).alias(name)
 
     return joined.select(
-        F.col("m.year").alias("year"), F.col("m.month").alias("month"), "record_count",
+        "year", "month", "record_count",
         mean("lane", "avg_lane"), mean("time", "avg_time"), F.col("total").alias("total_vehicles"),
         F.col("class_1").alias("total_class_1"), F.col("class_9").alias("total_class_9"), "sample_fac_b",
         F.col("buses").alias("total_buses"), "sample_fac_g", "sample_day_name", mean("awnd", "avg_wind_speed"),

@@ -40,11 +40,14 @@ def series_months(series: DataFrame, start, end) -> DataFrame:
     return out.withColumn("year", F.year("month_start")).withColumn("month", F.month("month_start"))
 
 
-def series_hours(series: DataFrame, start, end) -> DataFrame:
-    """Every row of ``series`` repeated for every hour of the days ``start``..``end``."""
-    days = F.sequence(_as(start, "date"), _as(end, "date"), F.expr("interval 1 day"))
-    return (series.withColumn("date", F.explode(days))
-            .withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+def series_days(series: DataFrame, start, end) -> DataFrame:
+    """Every row of ``series`` repeated for every day ``start``..``end``."""
+    return series.withColumn("date", F.explode(F.sequence(_as(start, "date"), _as(end, "date"), F.expr("interval 1 day"))))
+
+
+def day_hours(days: DataFrame) -> DataFrame:
+    """Every row repeated for the 24 hours of its ``date``."""
+    return (days.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
             .withColumn("ts", F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"))))
 
 

