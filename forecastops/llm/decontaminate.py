@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from forecastops.llm.common import TOKEN, plain_text
 
-SEED_WORDS = 4
-SEED_WINDOW = 3
+SEED_WORDS = 3
+SEED_WINDOW = 2
 MIN_SCORE = 0.5
 BLOCK_BYTES = 32 << 20
 MATCHES = "array<struct<item_id:bigint,score:double,first:bigint,last:bigint,seeds:bigint>>"
