@@ -18,6 +18,7 @@ tables give empty results. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -61,13 +62,14 @@ class ItemBlock:
             if found:
                 self.ids.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
                 self.items.append(item_id)
+        self.bags = [np.unique(i, return_counts=True) for i in self.ids]
         # Seeds of items shorter than an n-gram are the whole item, so there is a table for each length in use.
         self.lengths = sorted({min(n, len(i)) for i in self.ids})
         self.grams = {k: np.unique(np.concatenate([_codes(i, k) for i in self.ids if min(n, len(i)) == k])) for k in self.lengths}
 
     def encode(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in tokens(text)], np.int64)
+        found = tokens(text)
+        return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
 
     def _hits(self, ids: np.ndarray, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the document's n-grams that are in the sorted table, and where in it."""
@@ -106,6 +108,13 @@ class ItemBlock:
             codes = np.array(sorted(table), np.uint64)
             self.seeds[k] = (codes, [table[int(c)] for c in codes])
 
+    def _most(self, item: int, part: np.ndarray) -> int:
+        """Words that an item and a part of a document have in common, in any order: no alignment scores more."""
+        words, counts = self.bags[item]
+        ordered = np.sort(part)
+        held = np.searchsorted(ordered, words, side="right") - np.searchsorted(ordered, words, side="left")
+        return int(np.minimum(counts, held).sum())
+
     def matches(self, text: str, min_score: float) -> list[tuple]:
         """(item_id, score, first word, last word, seeds) of the best alignment with each item found."""
         ids = self.encode(text)
@@ -128,11 +137,12 @@ class ItemBlock:
                     group.append(shift)
                     continue
                 low, high = max(0, group[0] - slack), min(len(ids), group[-1] + length + slack)
-                score, first, last = align(self.ids[item], ids[low:high])
-                if best is None or score / length > best[0]:
-                    best = (score / length, low + first, low + last, len(group))
+                if self._most(item, ids[low:high]) >= min_score * length:
+                    score, first, last = align(self.ids[item], ids[low:high])
+                    if best is None or score / length > best[0]:
+                        best = (score / length, low + first, low + last, len(group))
                 group = [shift]
-            if best[0] >= min_score:
+            if best is not None and best[0] >= min_score:
                 out.append((int(self.items[item]), float(best[0]), int(best[1]), int(best[2]), int(best[3])))
         return sorted(out)
 
