@@ -66,11 +66,10 @@ def common_words(rows: DataFrame, common: int, max_languages: int) -> DataFrame:
 
 def statistics(rows: DataFrame, ranks: DataFrame, common: int) -> DataFrame:
     """Base counts, base rule, and class and common-word counts of every document; ``lang`` is the reference's."""
-    known = ranks.select(F.col("lang").alias("known"), "ranks").where(F.col("known") != ALL_LANGUAGES)
-    pooled = ranks.where(F.col("lang") == ALL_LANGUAGES).select(F.lit(True).alias("unknown"), F.col("ranks").alias("pooled"))
-    rows = rows.join(F.broadcast(known), F.col("lang") == F.col("known"), "left").withColumn("unknown", F.col("known").isNull())
-    rows = rows.join(F.broadcast(pooled), "unknown", "left").select(
-        "doc_id", F.coalesce("known", F.lit(ALL_LANGUAGES)).alias("lang"), "text", F.coalesce("ranks", "pooled").alias("ranks"))
+    known = ranks.select(F.col("lang").alias("known"))
+    rows = rows.join(F.broadcast(known), F.col("lang") == F.col("known"), "left").select(
+        "doc_id", F.coalesce("known", F.lit(ALL_LANGUAGES)).alias("lang"), "text")
+    rows = rows.join(F.broadcast(ranks), "lang", "left")
     rows = rows.withColumn("__words", words(F.col("text")))
     rows = rows.withColumn("__lines", F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     rows = rows.withColumn("__found", F.array_compact(F.transform("__words", lambda w: F.col("ranks")[w])))

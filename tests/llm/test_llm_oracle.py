@@ -33,3 +33,9 @@ def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "Pandas", "Arrow"):
         assert word not in plan
+
+
+def test_no_query_forms_a_cross_join(spark):
+    for name in sorted(QUERIES):
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
