@@ -7,7 +7,7 @@ import __spark_entry__ as entry_point
 from forecastops.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"lr_coefficients", "cv_grid_search"}
+ROWS_ONLY = {"lr_coefficients"}
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.001"
 # Global aggregates, and windows over a table whose size the calendar, the slices or the classes bound.
 ONE_TASK = {"spine_monthly", "spine_hourly", "grid_future", "scan_roles", "join_climatology", "impute_linear", "impute_median_mean",
             "agg_range_counts", "label_high_traffic", "seg_standardise", "eval_class_report", "fc_weather_jitter", "lr_normal_equations",
-            "fc_hourly_lr", "fc_series_gbt", "fc_history_union", "seg_kmeans_series", "seg_traffic_level", "clf_random_forest", "limit_topn",
+            "fc_hourly_lr", "fc_series_gbt", "fc_history_union", "split_random", "lr_category_effects", "seg_kmeans_series", "seg_traffic_level", "clf_random_forest", "limit_topn",
             "split_stratified"}
 FITS = {n for n in QUERIES if n.startswith(("fc_series", "fc_hist", "fc_fac", "fc_hourly", "lr_", "cv_grid", "clf_"))}
 
