@@ -11,18 +11,21 @@ from forecastops.operators.joins import measured_side
 
 BUCKETS_PER_OCTAVE = 1024
 CELLS_PER_BUCKET = 65536
+LOWEST_OCTAVE = 1100  # no double lies below 2 ** -1074
 
 
 def _buckets_and_cells(v):
     """Two order-preserving codes of a number: a bucket, and a cell inside the bucket.
 
-    Numbers within about 0.07 % of each other share a bucket, and a number has at most some two million
-    buckets; numbers within about 1e-8 of each other, relatively, share a cell.
+    Numbers within about 0.07 % of each other share a bucket, and a number has at most some four million
+    buckets; numbers within about 1e-8 of each other, relatively, share a cell. Both follow the number's
+    logarithm at every magnitude, so tiny values spread like large ones; only zero has a bucket of its own.
     """
-    depth = F.log2(F.abs(v) + 1.0) * BUCKETS_PER_OCTAVE
+    depth = (F.log2(F.abs(v)) + LOWEST_OCTAVE) * BUCKETS_PER_OCTAVE
     bucket, cell = F.floor(depth), F.floor((depth - F.floor(depth)) * CELLS_PER_BUCKET)
     sign = F.when(v < 0, -1).otherwise(1)
-    return bucket * sign, cell * sign
+    zero = v == 0
+    return F.when(zero, 0).otherwise(bucket * sign), F.when(zero, 0).otherwise(cell * sign)
 
 
 def _narrow(counts: DataFrame, within: Sequence[str], code: str, carried: Sequence[str]) -> DataFrame:
