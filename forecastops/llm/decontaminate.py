@@ -186,14 +186,11 @@ def item_blocks(items: DataFrame, n: int = SEED_WORDS, window: int = SEED_WINDOW
 
 def count_documents(docs: DataFrame, block: ItemBlock) -> dict[int, np.ndarray]:
     """In how many documents each n-gram of the block is, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        counts = {k: np.zeros(len(g), np.int64) for k, g in own.grams.items()}
+        counts = {k: np.zeros(len(g), np.int64) for k, g in block.grams.items()}
         for batch in batches:
             for text in batch["text"]:
-                for k, at in own.seen(own.encode(text)).items():
+                for k, at in block.seen(block.encode(text)).items():
                     counts[k][at] += 1
         for k, values in counts.items():
             at = np.nonzero(values)[0]
@@ -209,19 +206,18 @@ def count_documents(docs: DataFrame, block: ItemBlock) -> dict[int, np.ndarray]:
 def find_matches(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS, window: int = SEED_WINDOW,
                  block_bytes: int = BLOCK_BYTES) -> list[Column]:
     """For each block of items, an expression over ``docs.text`` that lists the items a document matches."""
-    def expression(shared) -> Column:
+    def expression(block: ItemBlock) -> Column:
         @F.pandas_udf(MATCHES)
         def run(texts: pd.Series) -> pd.Series:
-            own = shared.value
             names = ("item_id", "score", "first", "last", "seeds")
-            return pd.Series([[dict(zip(names, m)) for m in own.matches(t, min_score)] for t in texts])
+            return pd.Series([[dict(zip(names, m)) for m in block.matches(t, min_score)] for t in texts])
 
         return run(plain_text(F.col("text")))
 
     out = []
     for block in item_blocks(items, n, window, block_bytes):
         block.choose_seeds(count_documents(docs, block))
-        out.append(expression(docs.sparkSession.sparkContext.broadcast(block)))
+        out.append(expression(block))
     return out
 
 
