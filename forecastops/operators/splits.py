@@ -40,7 +40,7 @@ def split_at_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], slic
     ranked = rows.select(*keys, "__slice", F.struct(*order).alias("__border")).join(border_slice, [*keys, "__slice"])
     ranked = ranked.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy("__border")))
     border = measured_side(ranked.filter(F.col("__rn") == F.col("__nth")).select(*keys, "__border"))
-    marked = df.join(border, keys, "left")
+    marked = df.join(border, keys, "left") if keys else df.withColumn("__border", border.select("__border").scalar())
     return marked.withColumn(name, F.coalesce(F.struct(*order) <= F.col("__border"), F.lit(False))).drop("__border")
 
 
@@ -57,9 +57,9 @@ def split_chronological(df: DataFrame, keys: Sequence[str], ts: str, slice_by: C
 def split_random(df: DataFrame, key: Sequence[str], test_share: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
     """Exactly ``ceil(share * n)`` test rows: the last ones in the order of a hash of the row key."""
     key = list(key)
-    rows = df.withColumn("__h", hash_number(F.lit(str(seed)), *[F.col(k) for k in key])).withColumn("__all", F.lit(1))
-    out = split_at_rank(rows, ["__all"], ["__h", *key], F.floor(F.col("__h") / HASH_SLICE), lambda n: n - F.ceil(n * F.lit(test_share)), name="__train")
-    return out.withColumn(name, F.when(F.col("__train"), "train").otherwise("test")).drop("__train", "__h", "__all")
+    rows = df.withColumn("__h", hash_number(F.lit(str(seed)), *[F.col(k) for k in key]))
+    out = split_at_rank(rows, [], ["__h", *key], F.floor(F.col("__h") / HASH_SLICE), lambda n: n - F.ceil(n * F.lit(test_share)), name="__train")
+    return out.withColumn(name, F.when(F.col("__train"), "train").otherwise("test")).drop("__train", "__h")
 
 
 def split_stratified(df: DataFrame, label: str, key: Sequence[str], test_share: float = 0.2, seed: int = 42,
