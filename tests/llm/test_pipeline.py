@@ -70,3 +70,10 @@ def test_messy_and_empty_documents(spark):
             out.count()
             if stage is not corpus_pipeline.mix:
                 assert out.columns == docs.columns
+
+
+def test_rows_without_an_id_stay_in_near_dedup(spark):
+    docs = messy.documents(spark)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
+    assert sum(r["doc_id"] is None for r in out) == sum(r[0] is None for r in messy.rows())
+    assert {r["doc_id"] for r in out} >= {0, 10, 12} and not {1, 4, 5} & {r["doc_id"] for r in out}
