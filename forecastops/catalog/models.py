@@ -131,6 +131,20 @@ def fc_history_union(spark, d):
     return years.withColumn("series_learned", ok.scalar())
 
 
+@query("fc_series_terminal_b", """SELECT s.series, CAST(24 AS BIGINT) AS n_future, (SELECT COUNT(DISTINCT month(date)) FROM carrier_daily WHERE year(date) = 2000) AS n_eval,
+  CAST(5 AS BIGINT) AS folds, CAST(0 AS BIGINT) AS missing, true AS learned FROM (VALUES ('af'), ('ao'), ('nf'), ('no'), ('rf'), ('ro')) s(series)""")
+def fc_series_terminal_b(spark, d):
+    """The second terminal: series of report 1, one setting, five folds, one pooled model."""
+    rows = r.carriers_with_terminal_and_weather(t.carrier_daily(spark, d), t.terminal_a(spark, d), t.weather(spark, d))
+    history = pl.prepare_series(rows.select("year", "month", *C6, *W6), C6, W6)
+    out = pl.series_forecast(history, C6, W6, 2000, "2002-01-01", "2003-12-01", [fc.BoostParams(n_estimators=20)], pl.FOLDS_TERMINAL_B, mode="pooled")
+    ahead = out.forecast.groupBy("series").agg(F.count(F.lit(1)).alias("n_future"), F.sum(F.col("forecast").isNull().cast("bigint")).alias("missing"))
+    back = out.actual_vs_predicted.groupBy("series").agg(F.count("predicted").alias("n_eval"))
+    folds = F.lit(len({fold for _, _, fold, _ in out.fold_scores})).cast("bigint").alias("folds")
+    return ahead.join(back, "series").join(learned(out.fitted, "series", "actual", "predicted"), "series").select(
+        "series", "n_future", "n_eval", folds, "missing", "learned")
+
+
 @query("cv_grid_search", """WITH m AS (SELECT COUNT(*) AS n FROM (SELECT DISTINCT year(start_date), month(start_date) FROM passenger_weekly WHERE year(start_date) < 2000)),
 f AS (SELECT unnest([1, 2, 3]) AS fold), g AS (SELECT unnest([2, 3]) AS max_depth), s AS (SELECT unnest(['af','ao','nf','no','rf','ro']) AS series)
 SELECT series, CAST(max_depth AS INT) AS max_depth, CAST(fold AS INT) AS fold, n - (4 - fold) * (n // 4) AS n_train, n // 4 AS n_test,
