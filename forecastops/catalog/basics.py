@@ -51,10 +51,10 @@ def scan_roles(spark, d):
     return out
 
 
-@query("src_clean_names", "SELECT date, af AS coach_express, ao AS c_d_lines, nf AS north_line, total FROM carrier_daily")
+@query("src_clean_names", "SELECT date, af AS red_blue, ao AS x_y_group, nf AS line_one, total FROM carrier_daily")
 def src_clean_names(spark, d):
     raw = t.carrier_daily(spark, d).select("date", "af", "ao", "nf", "total").toDF(
-        " Date", "Coach/Express ", "C & D Lines", " North  Line ", "TOTAL")
+        " Date", "Red/Blue ", "X & Y Group", " Line  One ", "TOTAL")
     return readers.clean_names(readers.trim_names(raw))
 
 
@@ -108,12 +108,12 @@ def proj_star_prefixed(spark, d):
     return t.traffic(spark, d).join(measured_side(side), "date", "left").select("*")
 
 
-@query("proj_quoted_names", """SELECT year, month, af AS coach_express_total, ao AS c_d_lines_total, nf AS north_line_total FROM carrier_monthly""")
+@query("proj_quoted_names", """SELECT year, month, af AS red_blue_total, ao AS x_y_group_total, nf AS line_one_total FROM carrier_monthly""")
 def proj_quoted_names(spark, d):
-    wide = t.carrier_daily(spark, d).select("date", "af", "ao", "nf").toDF("Date", "Coach/Express", "C & D Lines", "North Line LD.")
+    wide = t.carrier_daily(spark, d).select("date", "af", "ao", "nf").toDF("Date", "Red/Blue", "X & Y Group", "Line One LD.")
     return wide.groupBy(F.year("`Date`").alias("year"), F.month("`Date`").alias("month")).agg(
-        F.sum("`Coach/Express`").alias("coach_express_total"), F.sum("`C & D Lines`").alias("c_d_lines_total"),
-        F.sum("`North Line LD.`").alias("north_line_total"))
+        F.sum("`Red/Blue`").alias("red_blue_total"), F.sum("`X & Y Group`").alias("x_y_group_total"),
+        F.sum("`Line One LD.`").alias("line_one_total"))
 
 
 @query("proj_computed", """SELECT date, coalesce(af,0)+coalesce(ao,0)+coalesce(nf,0)+coalesce(no,0)+coalesce(rf,0)+coalesce(ro,0) AS total_known,

@@ -33,7 +33,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_name(name: str) -> str:
-    """Trimmed lower snake case: ``' Coach USA '`` and ``'Peter/Pan & Co'`` become plain identifiers."""
+    """Trimmed lower snake case: ``' Line One '`` and ``'Red/Blue & Green'`` become plain identifiers."""
     kept = "".join(ch if ch.isalnum() else " " for ch in name.strip().lower())
     return "_".join(kept.split())
 
