@@ -23,13 +23,14 @@ from forecastops.llm.common import BLANKS, ascii_lower, plain_text, shared_rows
 from forecastops.session import remove_path, scratch_path
 
 MIN_CHARS = 10
+BATCHES, FANOUT = 6, 4  # more batches than the fanout: the last ones join a compacted run
 RUN_SCHEMA = "h binary, owner bigint"
 
 
 class LineRuns:
     """The runs of all keys seen so far, by level; each run is a Parquet table sorted by hash within its files."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = []
 
@@ -99,10 +100,12 @@ def id_batches(docs: DataFrame, batches: int) -> Column:
     if low is None:
         return F.lit(0)
     width = max(1, -(-(high - low + 1) // batches))
-    return F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(batches - 1)).cast("int")
+    exact = lambda c: c.cast("decimal(20,0)")  # noqa: E731  differences of 64-bit ids need 65 bits, quotients all digits
+    batch = F.call_function("div", exact(F.col("doc_id")) - exact(F.lit(low)), exact(F.lit(width)))
+    return F.coalesce(F.least(batch, F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
     """All columns of ``docs`` with ``text`` reduced to the kept lines, and ``__n_lines`` and ``__n_dropped``."""
     spark = docs.sparkSession
     batch = id_batches(docs, batches)

@@ -50,3 +50,20 @@ def test_runs_hold_each_key_once_and_are_compacted(spark):
     for path in [p for level in runs.levels for p in level]:
         for part in spark.read.parquet(path).rdd.glom().collect():
             assert [bytes(r["h"]) for r in part] == sorted(bytes(r["h"]) for r in part)
+
+
+@pytest.mark.parametrize("ids", [[0, 2 ** 62 - 3, 2 ** 62 - 2, 2 ** 62 - 1], [-2 ** 63, -2 ** 62, 0, 2 ** 63 - 2, 2 ** 63 - 1]])
+@pytest.mark.parametrize("batches", [4, 6])
+def test_ids_over_the_whole_range(spark, ids, batches):
+    rows = [(i, f"A line that all documents share\nown line of number {i}") for i in ids]
+    got = d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches)
+    assert sorted([(r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"]) for r in got.collect()], key=str) == brute(rows)
+
+
+def test_late_batches_read_a_compacted_run(spark, monkeypatch):
+    seen, read = [], d.LineRuns.read
+    monkeypatch.setattr(d.LineRuns, "read", lambda self: (seen.append([len(level) for level in self.levels]), read(self))[1])
+    rows = [(i, f"A line that all documents share\nown line of number {i}") for i in range(12)]
+    got = d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted([(r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"]) for r in got.collect()], key=str) == brute(rows)
+    assert any(len(levels) > 1 and levels[1] for levels in seen)
