@@ -137,7 +137,7 @@ def fc_series_terminal_b(spark, d):
     """The second terminal: series of report 1, one setting, five folds, one pooled model."""
     rows = r.carriers_with_terminal_and_weather(t.carrier_daily(spark, d), t.terminal_a(spark, d), t.weather(spark, d))
     history = pl.prepare_series(rows.select("year", "month", *C6, *W6), C6, W6)
-    out = pl.series_forecast(history, C6, W6, 2000, "2002-01-01", "2003-12-01", [fc.BoostParams(n_estimators=20)], pl.FOLDS_TERMINAL_B, mode="pooled")
+    out = pl.series_forecast(history, C6, W6, 2000, "2002-01-01", "2003-12-01", pl.GRID_TERMINAL_B, pl.FOLDS_TERMINAL_B, mode="pooled")
     ahead = out.forecast.groupBy("series").agg(F.count(F.lit(1)).alias("n_future"), F.sum(F.col("forecast").isNull().cast("bigint")).alias("missing"))
     back = out.actual_vs_predicted.groupBy("series").agg(F.count("predicted").alias("n_eval"))
     folds = F.lit(len({fold for _, _, fold, _ in out.fold_scores})).cast("bigint").alias("folds")
