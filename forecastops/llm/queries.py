@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecastops.llm import (chat_format, decontaminate, divergence_rules, line_dedup, mixing, quality, simhash, toxicity, url_filter,
-                             warc_fixity)
+from forecastops.llm import (chat_format, decontaminate, divergence_rules, line_dedup, mixing, periodic_runs, quality, simhash, toxicity,
+                             url_filter, warc_fixity, winnowing)
 from forecastops.llm.common import read, shared_rows
 
 QUERIES = {}
@@ -159,3 +159,15 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 @_query("op10_url_filter", OP10_SQL)
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
+
+
+@_query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic_runs.planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.run_report(periodic_runs.periodic_runs(planted))
+
+
+@_query("op12_winnowing")
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprint_report(winnowing.beside_next(read(spark, sf_dir, "documents")))

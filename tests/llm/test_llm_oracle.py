@@ -8,7 +8,8 @@ import corpus_pipeline
 from forecastops.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-BRUTE_FORCE = {"op2_decontaminate", "op5_divergence_rules", "op6_simhash", "op7_quality", "op8_toxicity"}
+BRUTE_FORCE = {"op2_decontaminate", "op5_divergence_rules", "op6_simhash", "op7_quality", "op8_toxicity", "op11_periodic_runs",
+               "op12_winnowing"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def test_query(spark, con, name):
     assert oracle.differences(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", ["op5_divergence_rules", "op9_chat_format"])
+@pytest.mark.parametrize("name", ["op5_divergence_rules", "op9_chat_format", "op12_winnowing"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "Pandas", "Arrow"):
