@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecastops.llm import (chat_format, decontaminate, divergence_rules, line_dedup, mixing, periodic_runs, quality, simhash, toxicity,
-                             url_filter, warc_fixity, winnowing)
+from forecastops.llm import (chat_format, decontaminate, divergence_rules, line_dedup, mixing, periodic_runs, quality, simhash, token_pairs,
+                             toxicity, url_filter, warc_fixity, winnowing)
 from forecastops.llm.common import read, shared_rows
 
 QUERIES = {}
@@ -171,3 +171,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_winnowing")
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_report(winnowing.beside_next(read(spark, sf_dir, "documents")))
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@_query("op13_token_pairs")
+def op13_token_pairs(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    rows = token_pairs.align_documents(read(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    return token_pairs.alignment_report(rows)

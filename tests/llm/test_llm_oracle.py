@@ -9,7 +9,7 @@ from forecastops.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 BRUTE_FORCE = {"op2_decontaminate", "op5_divergence_rules", "op6_simhash", "op7_quality", "op8_toxicity", "op11_periodic_runs",
-               "op12_winnowing"}
+               "op12_winnowing", "op13_token_pairs"}
 
 
 @pytest.fixture(scope="module")
