@@ -15,7 +15,7 @@ highest count of each A id goes to all tasks: at most one number for each id of
 
 Both tokenizers never join what a blank after other text separates: A splits words off first, and no piece of B has a
 blank behind another character (checked when the vocabulary is read). So the stretches between such blanks are encoded and
-aligned on their own, and those seen before come from a bounded cache of the task.
+aligned on their own, each different one once for about a million characters of text, as arrays.
 
 Defined results: null and empty texts, and texts whose joined A or B bytes are not those of the text with a blank in
 front, have no tokens, no links and empty groups. Texts are used whole; a text must fit in a row. Repeated rows count
@@ -25,8 +25,11 @@ caller's columns being hashed to deal rows to chunks, so names do not matter.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -40,9 +43,13 @@ from forecastops.llm.common import shared_rows
 CHUNK_BYTES = 8 << 20
 SHARD_KEYS = 32_000
 FAN = 16
-CACHE_PARTS = 200_000
+BATCH_CHARS = 4 << 20
+JOINED = 64
+# The pattern by which byte-level vocabularies of this kind split words off.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LARGE_GROUP = 4096
 BITS_PER_KEY = 2
-SIDE = 1 << 17  # more than the ids of either vocabulary: a pair is one number
+SIDE = 1 << 17  # more than the ids of either vocabulary: a pair, or a text and a pair, is one number
 # A blank after anything that no definition of white space covers; the last character stays with what is before it.
 CUT = re.compile(r"(?<=\S) (?!\Z)")
 
@@ -55,22 +62,31 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers, made from the bytes of their files, and the bytes of every id."""
+    """Both tokenizers, made from the bytes of their files, and the bytes of every id.
+
+    The byte-level vocabulary's file lists its joins in the order of their ids, so an encoder that knows the ids alone
+    gives the same tokens; strings of special tokens are plain text to it.
+    """
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(byte_level.decode())
-        self.a.encode_special_tokens = True
+        from tiktoken import Encoding
+
+        spec, alphabet = json.loads(byte_level), byte_alphabet()
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        joins = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+        order = [spec["model"]["vocab"][m.replace(" ", "")] for m in joins]
+        if order != sorted(order) or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("the byte-level vocabulary does not list its joins by id, or changes texts first")
+        self.a = Encoding("byte_level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_proto=pieces)
-        alphabet = byte_alphabet()
-        added = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
-        self.a_bytes = {i: t.encode() if i in added else bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab().items()}
+        by_id = {i: t for t, i in ranks.items()}
+        self.a_bytes = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(r"[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())):
             raise ValueError("pieces go on after a blank: texts cannot be cut there")
-        if max(self.a_bytes) >= SIDE or len(self.b_bytes) >= SIDE:
+        if max(len(self.a_bytes), len(self.b_bytes)) >= SIDE:
             raise ValueError("vocabulary too large")
 
     def _piece(self, i: int) -> bytes:
@@ -78,85 +94,148 @@ class Tokenizers:
             return bytes([int(self.b.id_to_piece(i)[3:5], 16)])
         return b"" if self.b.is_control(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for each part, which stands behind a blank."""
-        a = self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)
-        return [(x.ids, y) for x, y in zip(a, self.b.encode(parts, num_threads=1))]
-
-
-def group_tokens(a: list[int], b: list[int], a_bytes, b_bytes) -> list[tuple[list[int], list[int]]]:
-    """Groups of A and B ids between the byte offsets at which tokens of both end; both spell the same bytes."""
-    out, i, j, end_a, end_b, low_i, low_j = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += len(a_bytes[a[i]])
-            i += 1
-        else:
-            end_b += len(b_bytes[b[j]])
-            j += 1
-        if end_a == end_b and i > low_i and j > low_j:
-            out.append((a[low_i:i], b[low_j:j]))
-            low_i, low_j = i, j
-    return out
-
-
-def links(groups: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-    """How many token occurrences link each id pair."""
-    out: dict[int, int] = {}
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            key = a[0] * SIDE + b[0]
-            out[key] = out.get(key, 0) + 1
-            continue
-        # Different ids with their counts: equal ones of a long group are not paired one by one.
-        b_ids, b_counts = np.unique(b, return_counts=True)
-        for x, n in zip(*np.unique(a, return_counts=True)):
-            for y, m in zip(b_ids.tolist(), b_counts.tolist()):
-                key = int(x) * SIDE + y
-                out[key] = out.get(key, 0) + int(n) * m
-    return out
+    def spell(self, ids: list[int]) -> bytes:
+        """Bytes of B ids."""
+        return b"".join(map(self.b_bytes.__getitem__, ids))
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, list[list[int]], list[int]]:
+        """A ids of all parts in a row, B ids of all parts that B does not change, and the places of those it does.
+
+        Each part stands behind a blank; joined by it they are encoded as if alone.
+        """
+        a = self.a.encode_to_numpy(f" {' '.join(parts)}").astype(np.int64)
+        joined = [" ".join(parts[at:at + JOINED]) for at in range(0, len(parts), JOINED)]
+        b: list[list[int]] = []
+        changed: list[int] = []
+        for k, (text, ids) in enumerate(zip(joined, self.b.encode(joined, num_threads=1))):
+            if self.spell(ids) == f" {text}".encode():
+                b.append(ids)
+                continue
+            for at in range(k * JOINED, min(len(parts), (k + 1) * JOINED)):
+                ids = self.b.encode(parts[at])
+                if self.spell(ids) == f" {parts[at]}".encode():
+                    b.append(ids)
+                else:
+                    changed.append(at)
+        return a, b, changed
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+@dataclass
+class Aligned:
+    """Texts aligned together: counts of A ids, B ids, groups and links of each text, its spelled groups, and of every
+    distinct (text, pair), in that order, the number of links."""
+
+    sizes: np.ndarray
+    spelled: list[str]
+    text: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
 
 
 class Aligner:
-    """Aligns texts part by part; parts seen before come from the cache."""
+    """Aligns lists of texts: each different part once, all of them together as arrays."""
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         self.tokenizers = Tokenizers(byte_level, pieces)
-        self.cache: dict[str, tuple | None] = {}
-
-    def _align(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """Counts of A ids, B ids, groups and links, the spelled groups, pairs and their links; None where bytes differ."""
-        own, a_bytes, b_bytes = f" {part}".encode(), self.tokenizers.a_bytes, self.tokenizers.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != own or b"".join([b_bytes[i] for i in b]) != own:
-            return None
-        groups = group_tokens(a, b, a_bytes, b_bytes)
-        spelled = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        linked = links(groups)
-        return (len(a), len(b), len(groups), sum(linked.values())), spelled, np.array(list(linked), np.int64), np.array(list(linked.values()), np.int64)
-
-    def texts(self, texts: list[str]) -> Iterator[list[tuple] | None]:
-        """The aligned parts of each text; None for a text without tokens."""
-        if len(self.cache) > CACHE_PARTS:
-            self.cache.clear()
+        tables = [self.tokenizers.a_bytes, self.tokenizers.b_bytes]
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in tables]
+        # Ids as text with what follows them: within a group a comma, at its end a bar (A) or a semicolon (B).
+        self.inner, self.last = ([np.array([f"{i}{mark}" for i in range(len(table))], object) for table, mark in zip(tables, marks)] for marks in (",,", "|;"))
+
+    def _parts(self, parts: list[str], spell: bool):
+        """Of every part: whether B spells its bytes, its four counts, spelled groups; and its links as one ragged array."""
+        # Parts that end in a blank would run into the blank after them: they are encoded alone.
+        lengths = np.array([len(p.encode()) + 1 for p in parts], np.int64)
+        alone = np.array([p[-1:].isspace() for p in parts], bool)
+        place, cut = np.argsort(alone, kind="stable"), int((~alone).sum())
+        ordered, good = [parts[k] for k in place.tolist()], np.ones(len(parts), bool)
+        ids: list = [[np.zeros(0, np.int64)], []]
+        for begin, some in [(0, ordered[:cut])] * (cut > 0) + [(k, [ordered[k]]) for k in range(cut, len(ordered))]:
+            a, b, changed = self.tokenizers.encode(some)
+            ids[0].append(a)
+            ids[1] += b
+            good[place[[begin + k for k in changed]]] = False
+        ids = [np.concatenate(ids[0]), np.fromiter(chain.from_iterable(ids[1]), np.int64)]
+        # Which part a token lies in follows from where its bytes end; parts that B changes have no tokens at all.
+        offsets = np.cumsum(lengths[place])
+        of_a = place[np.searchsorted(offsets, np.cumsum(self.lengths[0][ids[0]]))]
+        ids[0], of_a = ids[0][good[of_a]], of_a[good[of_a]]
+        offsets = np.cumsum(lengths[place[good[place]]])
+        of_b = place[good[place]][np.searchsorted(offsets, np.cumsum(self.lengths[1][ids[1]]))]
+        # Back from joined to listed order, in which parts are numbered.
+        ids, counts = [x[np.argsort(of, kind="stable")] for x, of in zip(ids, (of_a, of_b))], [np.bincount(of, minlength=len(parts)) for of in (of_a, of_b)]
+        ends = [np.cumsum(self.lengths[k][ids[k]]) for k in (0, 1)]
+        common = np.intersect1d(ends[0], ends[1], assume_unique=True)
+        group = [np.searchsorted(common, ends[k]) for k in (0, 1)]
+        sizes = [np.bincount(group[k], minlength=len(common)) for k in (0, 1)]
+        begins = [np.cumsum(sizes[k]) - sizes[k] for k in (0, 1)]
+        part = np.repeat(np.arange(len(parts)), counts[0])
+        part_of_group = part[begins[0]] if len(common) else np.zeros(0, np.int64)
+
+        spelled = [""] * len(parts)
+        if spell:
+            order = np.empty(len(ids[0]) + len(ids[1]), object)
+            for k in (0, 1):
+                place = np.arange(len(ids[k]))
+                ending = place == (begins[k] + sizes[k] - 1)[group[k]]
+                before = (begins[1] if k == 0 else begins[0] + sizes[0])[group[k]]
+                order[place + before] = np.where(ending, self.last[k][ids[k]], self.inner[k][ids[k]])
+            ordered, cuts = order.tolist(), np.cumsum(np.concatenate([[0], counts[0] + counts[1]])).tolist()
+            spelled = ["".join(ordered[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+        plain = sizes[0] * sizes[1] <= LARGE_GROUP
+        token = np.flatnonzero(plain[group[0]])
+        repeat = sizes[1][group[0][token]]
+        other = _ragged(begins[1][group[0][token]], repeat)
+        pairs, of, times = [np.repeat(ids[0][token], repeat) * SIDE + ids[1][other]], [np.repeat(part[token], repeat)], [np.ones(len(other), np.int64)]
+        for g in np.flatnonzero(~plain).tolist():  # different ids with their counts: equal ones are not paired one by one
+            (x, n), (y, m) = (np.unique(ids[k][begins[k][g]:begins[k][g] + sizes[k][g]], return_counts=True) for k in (0, 1))
+            pairs.append((x[:, None] * SIDE + y[None, :]).ravel())
+            times.append((n[:, None] * m[None, :]).ravel())
+            of.append(np.full(len(pairs[-1]), part_of_group[g]))
+        pairs, of, times = (np.concatenate(x) for x in (pairs, of, times))
+        if not plain.all():
+            order = np.argsort(of, kind="stable")
+            pairs, of, times = pairs[order], of[order], times[order]
+        linked = np.bincount(of, times, len(parts)).astype(np.int64)
+        table = np.stack([counts[0], counts[1], np.bincount(part_of_group, minlength=len(parts)), linked], axis=1)
+        return good, table, spelled, pairs, times, np.bincount(of, minlength=len(parts))
+
+    def align(self, texts: list[str | None], spell: bool = True) -> Aligned:
+        """The texts aligned; without ``spell`` their groups are not written out."""
         cut = [CUT.split(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.cache})
-        for part, (a, b) in zip(new, self.tokenizers.encode(new)):
-            self.cache[part] = self._align(part, a, b)
-        for parts in cut:
-            found = [self.cache[p] for p in parts]
-            yield None if not found or None in found else found
-
-
-def batches(texts: pd.Series, size: int = 256) -> Iterator[list[str]]:
-    plain = texts.tolist()
-    for at in range(0, len(plain), size):
-        yield plain[at:at + size]
-
-
-def text_pairs(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a text in order, and how many links each has."""
-    pairs, place = np.unique(np.concatenate([f[2] for f in found]), return_inverse=True)
-    return pairs, np.bincount(place, np.concatenate([f[3] for f in found]), len(pairs)).astype(np.int64)
+        flat = list(chain.from_iterable(cut))
+        first = dict(zip(dict.fromkeys(flat), range(len(flat))))
+        index = np.fromiter(map(first.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), [len(parts) for parts in cut])
+        good, table, spelled, pairs, times, entries = self._parts(list(first), spell)
+        whole = np.bincount(owner, ~good[index], len(texts)) == 0
+        index, owner = index[whole[owner]], owner[whole[owner]]
+        sizes = np.stack([np.bincount(owner, table[index, k], len(texts)) for k in range(4)], axis=1).astype(np.int64)
+        place = _ragged((np.cumsum(entries) - entries)[index], entries[index])
+        key = np.repeat(owner, entries[index]) * SIDE * SIDE + pairs[place]
+        key, at = np.unique(key, return_inverse=True)
+        cuts, listed = np.cumsum(np.concatenate([[0], np.bincount(owner, minlength=len(texts))])).tolist(), index.tolist()
+        strings = ["".join([spelled[i] for i in listed[x:y]])[:-1] for x, y in zip(cuts, cuts[1:])] if spell else []
+        return Aligned(sizes, strings, key // (SIDE * SIDE), key % (SIDE * SIDE), np.bincount(at, times[place], len(key)).astype(np.int64))
+
+
+def batches(texts: list[str | None], size: int = BATCH_CHARS) -> Iterator[list[str | None]]:
+    """Lists of texts of about ``size`` characters together."""
+    out, n = [], 0
+    for text in texts:
+        out.append(text)
+        n += len(text or "") + 100
+        if n >= size:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
 
 
 class PerfectHash:
@@ -211,11 +290,13 @@ def _files(byte_level: str, pieces: str) -> tuple[bytes, bytes]:
 
 def chunk_pairs(chunked: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
     """First pass: ``chunk``, ``pair`` and the number of the chunk's documents that link it."""
+    made: list[Aligner] = []  # one for each task, which may have several chunks
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        aligner, found = Aligner(*files), []
-        for texts in batches(frame["text"]):
-            found += [text_pairs(parts)[0] for parts in aligner.texts(texts) if parts]
-        pairs, counts = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
+        if not made:
+            made.append(Aligner(*files))
+        found = [np.zeros(0, np.int64)] + [made[0].align(texts, spell=False).pair for texts in batches(frame["text"].tolist())]
+        pairs, counts = np.unique(np.concatenate(found), return_counts=True)
         return pd.DataFrame({"chunk": np.full(len(pairs), frame["chunk"].iloc[0] if len(frame) else 0), "pair": pairs, "n": counts})
 
     return chunked.groupBy("chunk").applyInPandas(run, "chunk long, pair long, n long")
@@ -320,22 +401,24 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes:
     chunked, pairs, tables = pair_tables(docs, files, chunk_bytes, shard_keys)
     best = highest_counts(tables)
 
+    made: list[Aligner] = []
+
     def run(key: tuple, frame: pa.Table, counted: pa.Table) -> pa.Table:
+        if not made:
+            made.append(Aligner(*files))
         order = np.argsort(counted["pair"].to_numpy())
         known, counts = counted["pair"].to_numpy()[order], counted["count"].to_numpy()[order]
-        aligner, rows = Aligner(*files), []
-        for texts in batches(frame["text"].to_pandas()):
-            for parts in aligner.texts(texts):
-                if not parts:
-                    rows.append((0, 0, 0, 0, 0, 0, ""))
-                    continue
-                own, times = text_pairs(parts)
-                count = counts[np.searchsorted(known, own)]
-                rows.append((*np.sum([p[0] for p in parts], axis=0).tolist(), int(times[count == best[own // SIDE]].sum()), int((times * count).sum()),
-                             ";".join([p[1] for p in parts])))
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-        return pa.table({"doc_id": frame["doc_id"]} | {n: pa.array(c, pa.string() if n == "groups" else pa.int64()) for n, c in zip(names, columns)})
+        tables, spelled = [np.zeros((0, 6), np.int64)], []
+        for texts in batches(frame["text"].to_pylist()):
+            found = made[0].align(texts)
+            count = counts[np.searchsorted(known, found.pair)] if len(known) else found.pair
+            total = lambda values: np.bincount(found.text, values, len(texts)).astype(np.int64)  # noqa: B023, E731
+            top = np.where(count == best[found.pair // SIDE], found.times, 0)
+            tables.append(np.column_stack([found.sizes, total(top), total(found.times * count)]))
+            spelled += found.spelled
+        columns = np.concatenate(tables)
+        names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        return pa.table({"doc_id": frame["doc_id"]} | {n: pa.array(columns[:, k]) for k, n in enumerate(names)} | {"groups": pa.array(spelled, pa.string())})
 
     kind = chunked.schema["doc_id"].dataType.simpleString()
     return chunked.groupBy("chunk").cogroup(chunk_counts(pairs, tables).groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, {RESULT}")

@@ -1,11 +1,13 @@
 """Alignment of whole texts by another way, corpus counts by hand, and the perfect hash."""
 
+import functools
 import hashlib
 from collections import Counter
 
 import messy
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from forecastops.llm import token_pairs as t
 from forecastops.llm.common import read
@@ -18,11 +20,19 @@ def tokenizers():
     return t.Tokenizers(*t._files(BYTE_LEVEL, PIECES))
 
 
+@functools.cache
+def reference():
+    """The byte-level tokenizer as its own library reads the file."""
+    made = Tokenizer.from_file(BYTE_LEVEL)
+    made.encode_special_tokens = True
+    return made
+
+
 def whole(text, tk):
     """Groups of a text encoded in one piece, through sets of offsets."""
     if not text:
         return []
-    a, b, own = tk.a.encode(" " + text, add_special_tokens=False).ids, tk.b.encode(text), (" " + text).encode()
+    a, b, own = reference().encode(" " + text, add_special_tokens=False).ids, tk.b.encode(text), (" " + text).encode()
     if b"".join(tk.a_bytes[i] for i in a) != own or b"".join(tk.b_bytes[i] for i in b) != own:
         return []
     ends_a, ends_b = np.cumsum([len(tk.a_bytes[i]) for i in a]).tolist(), np.cumsum([len(tk.b_bytes[i]) for i in b]).tolist()
@@ -66,9 +76,17 @@ def test_documents_match_whole_texts(spark, tokenizers):
 def test_every_document_is_cut_where_both_tokenizers_cut(spark, tokenizers):
     texts = [r["text"] for r in read(spark, "/root/testdata/sf0.01", "documents").collect() if r["text"]] + ODD
     aligner = t.Aligner(*t._files(BYTE_LEVEL, PIECES))
-    for text, parts in zip(texts, aligner.texts(texts)):
-        spelled = ";".join(p[1] for p in parts) if parts else ""
-        assert spelled == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in whole(text, tokenizers))
+    for part in t.batches(texts):
+        for text, spelled in zip(part, aligner.align(part).spelled):
+            assert spelled == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in whole(text, tokenizers))
+
+
+def test_large_groups_are_paired_by_different_ids(monkeypatch):
+    aligner, texts = t.Aligner(*t._files(BYTE_LEVEL, PIECES)), ["ααα" * 30 + " one two 123456", "xyzzy " * 9 + "漢字", "", "q"]
+    plain = aligner.align(texts)
+    monkeypatch.setattr(t, "LARGE_GROUP", 0)
+    other = aligner.align(texts)
+    assert all(np.array_equal(x, y) for x, y in zip(vars(plain).values(), vars(other).values()))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 1000, 50_000])
