@@ -105,8 +105,8 @@ def id_batches(docs: DataFrame, batches: int) -> Column:
     return F.coalesce(F.least(batch, F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
-    """All columns of ``docs`` with ``text`` reduced to the kept lines, and ``__n_lines`` and ``__n_dropped``."""
+def dedup_rows(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
+    """``row``: all columns of ``docs`` with ``text`` reduced to the kept lines; and ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
     batch = id_batches(docs, batches)
     path = scratch_path(spark, "lines")
@@ -118,10 +118,17 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
         found = _dropped(runs, lines.where(F.col("batch") == k))
         drops = found if drops is None else drops.unionByName(found)
     by_row = drops.groupBy(F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drop"))
-    joined = docs.withColumn("__row", _row_key()).join(by_row, "__row", "left")
-    joined = joined.withColumn("__lines", F.split(plain_text(F.col("text")), "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__drop", F.array().cast("array<int>")))
-    joined = joined.withColumn("__left", left)
-    kept = F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")
-    return joined.withColumn("text", kept).withColumn("__n_lines", F.size("__lines").cast("long")).withColumn(
-        "__n_dropped", (F.size("__lines") - F.size("__left")).cast("long")).drop("__row", "__drop", "__lines", "__left")
+    # The caller's columns travel in one struct, so their names cannot clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key().alias("__row"))
+    joined = own.join(by_row, "__row", "left").withColumn("lines", F.split(plain_text(F.col("row.text")), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("__drop", F.array().cast("array<int>")))
+    joined = joined.withColumn("left", left)
+    kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    return joined.select(F.struct(*[kept.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"),
+                         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+    """All columns of ``docs`` with the kept text, and ``__n_lines`` and ``__n_dropped`` (in place of columns so named)."""
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
+    return dedup_rows(docs, **options).select(*kept, F.col("n_lines").alias("__n_lines"), F.col("n_dropped").alias("__n_dropped"))

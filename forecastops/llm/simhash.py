@@ -218,12 +218,32 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return roots
 
 
+def fingerprint_roots(owners: DataFrame) -> DataFrame:
+    """``owners`` (one row for each ``fp``) with ``root``: the same for fingerprints that links connect."""
+    roots = shared_rows(components(links(owners)))
+    return owners.join(roots, owners["fp"] == roots["node"], "left").select(*[owners[c] for c in owners.columns], F.coalesce("root", owners["fp"]).alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fp`` (signed) and ``component_id`` (smallest id reachable) of every row."""
     rows = shared_rows(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    owners = shared_rows(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = shared_rows(components(links(owners)))
-    linked = owners.join(roots, owners["fp"] == roots["node"], "left").select(owners["fp"], "first", F.coalesce("root", owners["fp"]).alias("root"))
+    linked = fingerprint_roots(shared_rows(rows.groupBy("fp").agg(F.min("doc_id").alias("first"))))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def first_of_each_group(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of ``docs``: that of the smallest id, then text hash.
+
+    Rows without an id cannot be told apart by it and all stay. Of rows with equal id and text one stays. Only ids,
+    hashes and fingerprints are grouped; then each text travels once.
+    """
+    key = F.unhex(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), plain_text(F.col("text"))).cast("binary")))
+    rows = shared_rows(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", key.alias("key"), fingerprint(F.col("text")).alias("fp")))
+    # The smallest key of every fingerprint first: a group of copies is one row from here on.
+    owners = rows.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"))
+    chosen = fingerprint_roots(shared_rows(owners)).groupBy("root").agg(F.min("first").alias("first")).where(F.col("first").isNotNull())
+    chosen = chosen.select(F.col("first.key").alias("kept"))
+    named = rows.where(F.col("doc_id").isNotNull()).join(chosen, F.col("key") == F.col("kept"), "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return named.select("row.*").unionByName(rows.where(F.col("doc_id").isNull()).select("row.*"))

@@ -77,3 +77,24 @@ def test_rows_without_an_id_stay_in_near_dedup(spark):
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
     assert sum(r["doc_id"] is None for r in out) == sum(r[0] is None for r in messy.rows())
     assert {r["doc_id"] for r in out} >= {0, 10, 12} and not {1, 4, 5} & {r["doc_id"] for r in out}
+
+
+def test_repeated_ids_lose_no_group(spark):
+    a, b = messy.prose(1, 60), messy.prose(2, 60)
+    docs = spark.createDataFrame([(9, a), (9, b), (20, b), (9, a)], "doc_id long, text string")
+    assert pairs(corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR)) == sorted([(9, a), (9, b)])
+
+
+def test_names_used_inside_the_stages_may_be_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "key", "fp", "first", "root", "__row", "__lines", "lines", "left", "__drop", "kept", "h", "pos"]
+    docs = spark.createDataFrame([(k, messy.prose(k // 2, 60) + "\nA line that all share", "en", "s", *[1] * (len(names) - 4)) for k in range(8)], names)
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.drop_near_duplicates):
+        docs = stage(spark, docs, SF_DIR).cache()
+        assert docs.columns == names
+    assert [i for i, _ in pairs(docs)] == [0, 1, 2, 4, 6]  # 0 kept the shared line: it is no copy of 1 any more
+
+
+def test_line_dedup_replaces_columns_of_its_own_names(spark):
+    from forecastops.llm import line_dedup
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, "x", 5, 6)], ["doc_id", "text", "__n_lines", "row"])).collect()[0]
+    assert got.asDict() == {"doc_id": 1, "text": "x", "row": 6, "__n_lines": 1, "__n_dropped": 0}
