@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecastops.llm import decontaminate, line_dedup, mixing, near_copies, quality
-from forecastops.llm.common import plain_text, read, shared_rows
+from forecastops.llm import decontaminate, line_dedup, mixing, quality, simhash
+from forecastops.llm.common import read, shared_rows
 
 # Learned models and random orders have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -19,25 +19,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that belong to another; ``n_chars`` follows the text."""
-    rows = line_dedup.dedup_lines(docs)
-    return rows.withColumn("n_chars", F.char_length(plain_text(F.col("text"))).cast("long")).select(*docs.columns)
+    new = {"text": F.col("row.text"), "n_chars": F.char_length("row.text").cast("long")}
+    return line_dedup.dedup_rows(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, Jaccard 0.8): the one whose id names the group.
-
-    Of rows that share that id one stays; rows without an id cannot be named in a group and all stay.
-    """
-    rows = near_copies.near_copies(docs).where(F.col("doc_id") == F.col("component_id"))
-    first = rows.groupBy("doc_id", "node").agg(F.count("*").alias("__rows")).groupBy("doc_id").agg(
-        F.min(F.struct("node", "__rows")).alias("__first"))
-    kept = docs.join(shared_rows(first), "doc_id")
-    kept = shared_rows(kept.where(near_copies.text_key(F.col("text")) == F.col("__first.node")))
-    # Few ids are repeated; of their equal texts the smallest row stays.
-    others = [c for c in docs.columns if c != "doc_id"]
-    repeated = kept.where(F.col("__first.__rows") > 1).groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
-    kept = kept.where(F.col("__first.__rows") == 1).select(*docs.columns).unionByName(repeated.select("doc_id", "__row.*"))
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of SimHash near-duplicates (3-word shingles, at most two differing bits)."""
+    return simhash.first_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
