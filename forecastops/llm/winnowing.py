@@ -46,8 +46,8 @@ def _grown(rows: DataFrame, column: str, size: int, join) -> tuple[DataFrame, st
     return rows, column
 
 
-def with_marks(rows: DataFrame, text: str, name: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """``rows`` with ``name``: the text's marks (``hash``, ``position``) by position."""
+def with_packed_marks(rows: DataFrame, text: str, name: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``rows`` with ``name``: the text's marks by position, each one number of hash (above) and position (below)."""
     kept = [F.col(f"`{c}`") for c in rows.columns if c != name]
     rows = rows.withColumn("__pieces", F.regexp_extract_all(plain_text(F.col(text)), F.lit(PIECES), F.lit(0)))
     size = F.size("__pieces")
@@ -55,20 +55,26 @@ def with_marks(rows: DataFrame, text: str, name: str, gram: int = GRAM, window:
     if gram == 1:
         rows, grams = rows.withColumn("__hashes", F.transform(grams, lambda x: F.xxhash64(x))), "__hashes"
     whole = F.slice(grams, F.lit(1), F.greatest(size - (gram - 1), F.least(size, F.lit(1))))
-    # Hash above, place below, later places smaller: the least number is the smallest hash, the rightmost of equal ones.
+    # Later places are smaller below: the least number is the smallest hash, the rightmost of equal ones.
     rows = rows.withColumn("__placed", F.transform(whole, lambda h, i: F.shiftrightunsigned(h, 31) * F.lit(PLACES) + (PLACES - 1 - i)))
     placed = F.size("__placed")
     rows, least = _grown(rows, "__placed", window, lambda a, b: F.least(a, b))
     chosen = F.array_distinct(F.slice(least, F.lit(1), F.greatest(placed - (window - 1), F.least(placed, F.lit(1)))))
+    return rows.select(*kept, chosen.alias(name))
 
-    def mark(x: Column) -> Column:
-        return F.struct(F.call_function("div", x, F.lit(PLACES)).alias("hash"), (PLACES - 1 - x % PLACES).cast("int").alias("position"))
 
-    return rows.select(*kept, F.transform(chosen, mark).alias(name))
+def _hash(packed: Column) -> Column:
+    return F.call_function("div", packed, F.lit(PLACES))
+
+
+def unpacked(marks: Column) -> Column:
+    """Marks as ``hash`` and ``position``."""
+    return F.transform(marks, lambda x: F.struct(_hash(x).alias("hash"), (PLACES - 1 - x % PLACES).cast("int").alias("position")))
 
 
 def hashes(marks: str) -> Column:
-    return F.array_distinct(F.transform(marks, lambda m: m["hash"]))
+    """The different hashes of packed marks."""
+    return F.array_distinct(F.transform(marks, _hash))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,14 +84,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def spelled(marks: str) -> Column:
-    """Digest of all marks with their positions."""
-    listed = F.transform(marks, lambda m: F.concat_ws("@", m["hash"].cast("string"), m["position"].cast("string")))
+    """Digest of all packed marks with their positions."""
+    listed = F.transform(unpacked(F.col(marks)), lambda m: F.concat_ws("@", m["hash"].cast("string"), m["position"].cast("string")))
     return F.sha2(F.array_join(listed, ",").cast("binary"), 256)
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``doc_id`` and ``marks`` of every row."""
-    return with_marks(docs.select("doc_id", "text"), "text", "marks", gram, window).select("doc_id", "marks")
+    return with_packed_marks(docs.select("doc_id", "text"), "text", "marks", gram, window).select("doc_id", unpacked(F.col("marks")).alias("marks"))
 
 
 def row_key() -> Column:
@@ -119,12 +125,12 @@ def next_rows(docs: DataFrame) -> DataFrame:
 
 
 def beside_next(docs: DataFrame, share: int = 4, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Every row's text and marks, its edited text with its marks, and the marks' hashes of the row that follows.
+    """Every row's text and packed marks, its edited text with its marks, and the marks' hashes of the row that follows.
 
     In the edited text the last ``n_chars // share`` code points give way to the first as many of the next row's text.
     """
     rows = docs.select("doc_id", plain_text(F.col("text")).alias("text")).withColumn("row", row_key())
-    marked = with_marks(rows.select("row", "text"), "text", "marks", gram, window)
+    marked = with_packed_marks(rows.select("row", "text"), "text", "marks", gram, window)
     # One row for each key, dealt by it once: both joins below read this exchange.
     own = marked.groupBy("row").agg(F.first(F.struct("text", "marks")).alias("own"))
     plan = next_rows(docs)
@@ -135,7 +141,7 @@ def beside_next(docs: DataFrame, share: int = 4, gram: int = GRAM, window: int =
     both = own.join(sent.hint("merge"), own["row"] == sent["of"])
     edited = F.concat(F.substr("own.text", F.lit(1), (F.col("n_chars") - F.col("lost")).cast("int")), F.col("prefix"))
     both = both.select("doc_id", "n_chars", "times", F.col("own.text").alias("text"), F.col("own.marks").alias("marks"), edited.alias("edited"), "next_hashes")
-    return with_marks(both, "edited", "edited_marks", gram, window)
+    return with_packed_marks(both, "edited", "edited_marks", gram, window)
 
 
 def fingerprint_report(rows: DataFrame) -> DataFrame:
