@@ -15,7 +15,7 @@ highest count of each A id goes to all tasks: at most one number for each id of
 
 Both tokenizers never join what a blank after other text separates: A splits words off first, and no piece of B has a
 blank behind another character (checked when the vocabulary is read). So the stretches between such blanks are encoded and
-aligned on their own, each different one once for about a million characters of text, as arrays.
+aligned on their own as arrays, each different one once as long as a task remembers it (``KNOWN_PARTS``).
 
 Defined results: null and empty texts, and texts whose joined A or B bytes are not those of the text with a blank in
 front, have no tokens, no links and empty groups. Texts are used whole; a text must fit in a row. Repeated rows count
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
@@ -43,7 +43,8 @@ from forecastops.llm.common import shared_rows
 CHUNK_BYTES = 8 << 20
 SHARD_KEYS = 32_000
 FAN = 16
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
+KNOWN_PARTS = 400_000
 JOINED = 64
 # The pattern by which byte-level vocabularies of this kind split words off.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,16 +139,42 @@ class Aligned:
 
 
 class Aligner:
-    """Aligns lists of texts: each different part once, all of them together as arrays."""
+    """Aligns lists of texts: each different part once, all new ones together as arrays.
 
-    def __init__(self, byte_level: bytes, pieces: bytes):
+    What is known of parts is kept up to ``KNOWN_PARTS`` of them, then forgotten. Without ``spell`` the groups of texts
+    are not written out.
+    """
+
+    def __init__(self, byte_level: bytes, pieces: bytes, spell: bool = True):
+        self.spell = spell
+        self._forget()
         self.tokenizers = Tokenizers(byte_level, pieces)
         tables = [self.tokenizers.a_bytes, self.tokenizers.b_bytes]
         self.lengths = [np.array([len(x) for x in table], np.int64) for table in tables]
         # Ids as text with what follows them: within a group a comma, at its end a bar (A) or a semicolon (B).
         self.inner, self.last = ([np.array([f"{i}{mark}" for i in range(len(table))], object) for table, mark in zip(tables, marks)] for marks in (",,", "|;"))
 
-    def _parts(self, parts: list[str], spell: bool):
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.good, self.table, self.spelled = np.zeros(0, bool), np.zeros((0, 4), np.int64), []
+        self.pairs, self.times, self.entries = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _learn(self, parts: Iterable[str]) -> None:
+        """Align the parts not known yet."""
+        different = dict.fromkeys(parts)
+        new = [p for p in different if p not in self.known]
+        if self.known and len(self.known) + len(new) > KNOWN_PARTS:
+            self._forget()
+            new = list(different)
+        if not new:
+            return
+        good, table, spelled, pairs, times, entries = self._parts(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.spelled += spelled
+        self.good, self.table = np.concatenate([self.good, good]), np.concatenate([self.table, table])
+        self.pairs, self.times, self.entries = (np.concatenate(x) for x in ((self.pairs, pairs), (self.times, times), (self.entries, entries)))
+
+    def _parts(self, parts: list[str]):
         """Of every part: whether B spells its bytes, its four counts, spelled groups; and its links as one ragged array."""
         # Parts that end in a blank would run into the blank after them: they are encoded alone.
         lengths = np.array([len(p.encode()) + 1 for p in parts], np.int64)
@@ -178,7 +205,7 @@ class Aligner:
         part_of_group = part[begins[0]] if len(common) else np.zeros(0, np.int64)
 
         spelled = [""] * len(parts)
-        if spell:
+        if self.spell:
             order = np.empty(len(ids[0]) + len(ids[1]), object)
             for k in (0, 1):
                 place = np.arange(len(ids[k]))
@@ -206,23 +233,21 @@ class Aligner:
         table = np.stack([counts[0], counts[1], np.bincount(part_of_group, minlength=len(parts)), linked], axis=1)
         return good, table, spelled, pairs, times, np.bincount(of, minlength=len(parts))
 
-    def align(self, texts: list[str | None], spell: bool = True) -> Aligned:
-        """The texts aligned; without ``spell`` their groups are not written out."""
+    def align(self, texts: list[str | None]) -> Aligned:
         cut = [CUT.split(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
-        first = dict(zip(dict.fromkeys(flat), range(len(flat))))
-        index = np.fromiter(map(first.__getitem__, flat), np.int64, len(flat))
+        self._learn(flat)
+        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         owner = np.repeat(np.arange(len(texts)), [len(parts) for parts in cut])
-        good, table, spelled, pairs, times, entries = self._parts(list(first), spell)
-        whole = np.bincount(owner, ~good[index], len(texts)) == 0
+        whole = np.bincount(owner, ~self.good[index], len(texts)) == 0
         index, owner = index[whole[owner]], owner[whole[owner]]
-        sizes = np.stack([np.bincount(owner, table[index, k], len(texts)) for k in range(4)], axis=1).astype(np.int64)
-        place = _ragged((np.cumsum(entries) - entries)[index], entries[index])
-        key = np.repeat(owner, entries[index]) * SIDE * SIDE + pairs[place]
-        key, at = np.unique(key, return_inverse=True)
+        sizes = np.stack([np.bincount(owner, self.table[index, k], len(texts)) for k in range(4)], axis=1).astype(np.int64)
+        entries = self.entries[index]
+        place = _ragged((np.cumsum(self.entries) - self.entries)[index], entries)
+        key, at = np.unique(np.repeat(owner, entries) * SIDE * SIDE + self.pairs[place], return_inverse=True)
         cuts, listed = np.cumsum(np.concatenate([[0], np.bincount(owner, minlength=len(texts))])).tolist(), index.tolist()
-        strings = ["".join([spelled[i] for i in listed[x:y]])[:-1] for x, y in zip(cuts, cuts[1:])] if spell else []
-        return Aligned(sizes, strings, key // (SIDE * SIDE), key % (SIDE * SIDE), np.bincount(at, times[place], len(key)).astype(np.int64))
+        strings = ["".join([self.spelled[i] for i in listed[x:y]])[:-1] for x, y in zip(cuts, cuts[1:])]
+        return Aligned(sizes, strings, key // (SIDE * SIDE), key % (SIDE * SIDE), np.bincount(at, self.times[place], len(key)).astype(np.int64))
 
 
 def batches(texts: list[str | None], size: int = BATCH_CHARS) -> Iterator[list[str | None]]:
@@ -294,8 +319,8 @@ def chunk_pairs(chunked: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         if not made:
-            made.append(Aligner(*files))
-        found = [np.zeros(0, np.int64)] + [made[0].align(texts, spell=False).pair for texts in batches(frame["text"].tolist())]
+            made.append(Aligner(*files, spell=False))
+        found = [np.zeros(0, np.int64)] + [made[0].align(texts).pair for texts in batches(frame["text"].tolist())]
         pairs, counts = np.unique(np.concatenate(found), return_counts=True)
         return pd.DataFrame({"chunk": np.full(len(pairs), frame["chunk"].iloc[0] if len(frame) else 0), "pair": pairs, "n": counts})
 

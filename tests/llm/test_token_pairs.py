@@ -81,11 +81,19 @@ def test_every_document_is_cut_where_both_tokenizers_cut(spark, tokenizers):
             assert spelled == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in whole(text, tokenizers))
 
 
+def test_forgetting_known_parts_changes_nothing(monkeypatch):
+    aligner, texts = t.Aligner(*t._files(BYTE_LEVEL, PIECES)), [messy.prose(k, 50) for k in range(9)]
+    plain = [aligner.align([x]).spelled for x in texts]
+    monkeypatch.setattr(t, "KNOWN_PARTS", 60)
+    again = t.Aligner(*t._files(BYTE_LEVEL, PIECES))
+    assert plain == [again.align([x]).spelled for x in texts] and len(again.known) <= 60
+
+
 def test_large_groups_are_paired_by_different_ids(monkeypatch):
     aligner, texts = t.Aligner(*t._files(BYTE_LEVEL, PIECES)), ["ααα" * 30 + " one two 123456", "xyzzy " * 9 + "漢字", "", "q"]
     plain = aligner.align(texts)
     monkeypatch.setattr(t, "LARGE_GROUP", 0)
-    other = aligner.align(texts)
+    other = t.Aligner(*t._files(BYTE_LEVEL, PIECES)).align(texts)
     assert all(np.array_equal(x, y) for x, y in zip(vars(plain).values(), vars(other).values()))
 
 
