@@ -41,6 +41,33 @@ def src_csv_headerless(spark, d):
                       F.col("time").try_cast("int").alias("time"), "facility", *[fn.to_count(v).alias(v) for v in V4])
 
 
+@query("src_csv_by_name", "SELECT * FROM traffic")
+def src_csv_by_name(spark, d):
+    """Two exports with other column orders, blanks in the header and one column besides, united by name."""
+    rows, paths = t.traffic(spark, d), []
+    for name, part, order in (("early", rows.filter(F.dayofmonth("date") <= 15), rows.columns[::-1]), ("late", rows.filter(F.dayofmonth("date") > 15), sorted(rows.columns))):
+        part = part.withColumn("remark", F.lit("x,y")).select("remark", *order)
+        paths.append(sinks.write_table(part.toDF(*[f" {c} " for c in part.columns]), scratch_path(spark, f"by-name-{name}"), "csv"))
+    return readers.read_csv_by_name(spark, paths, TRAFFIC_SCHEMA)
+
+
+# Rows whose lane is 3 lose their last cell on the way, rows whose lane is 5 get one more.
+@query("src_csv_quarantine", """SELECT CASE WHEN lane = 3 THEN 'short' WHEN lane = 5 THEN 'long' ELSE 'good' END AS kind,
+  CAST(CASE WHEN lane = 3 THEN 7 WHEN lane = 5 THEN 9 ELSE 8 END AS INT) AS n_cells, COUNT(*) AS n, CAST(SUM(CASE WHEN lane IN (3, 5) THEN NULL ELSE auto END) AS BIGINT) AS auto
+FROM traffic GROUP BY 1, 2""")
+def src_csv_quarantine(spark, d):
+    rows = t.traffic(spark, d)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    line = F.when(F.col("lane") == 3, F.concat_ws(",", *cells[:-1])).when(F.col("lane") == 5, F.concat_ws(",", *cells, F.lit("extra"))).otherwise(F.concat_ws(",", *cells))
+    path = scratch_path(spark, "traffic-bad")
+    rows.select(line.alias("value")).write.text(path)
+    good, bad = readers.read_csv_quarantine(spark, path, rows.columns)
+    kept = good.groupBy(F.lit("good").alias("kind"), F.lit(len(rows.columns)).alias("n_cells")).agg(F.count(F.lit(1)).alias("n"), F.sum(fn.to_count("auto")).alias("auto"))
+    held = bad.groupBy(F.when(F.col("n_cells") < len(rows.columns), "short").otherwise("long").alias("kind"), "n_cells").agg(
+        F.count("file").alias("n"), F.lit(None).cast("bigint").alias("auto"))
+    return kept.unionByName(held)
+
+
 @query("scan_roles", " UNION ALL ".join(f"SELECT '{r}' AS role, COUNT(*) AS n FROM {r}" for r in t.ROLES))
 def scan_roles(spark, d):
     counts = [role(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("role"), "n")
@@ -64,6 +91,15 @@ def sink_partitioned(spark, d):
     return readers.read_table(spark, path)
 
 
+# The year 1996 is written again with other totals: only its partition changes.
+@query("sink_replaced", "SELECT year, month, CASE WHEN year = 1996 THEN total + 1 ELSE total END AS total FROM carrier_monthly")
+def sink_replaced(spark, d):
+    rows = carrier_monthly(spark, d).select("year", "month", "total")
+    path = sinks.write_table(rows, scratch_path(spark, "replaced"), partition_by=["year"])
+    sinks.replace_partitions(rows.filter(F.col("year") == 1996).withColumn("total", F.col("total") + 1), path, ["year"])
+    return readers.read_table(spark, path)
+
+
 @query("spine_monthly", """WITH b AS (SELECT min(date) AS lo, max(date) AS hi FROM carrier_daily),
 s AS (SELECT CAST(unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM b)
 SELECT s.month_start, CAST(year(s.month_start) AS INT) AS year, CAST(month(s.month_start) AS INT) AS month, m.total

@@ -74,6 +74,18 @@ def lr_coefficients(spark, d):
     return passenger_fit(spark, d).model.table(spark)
 
 
+@query("lr_moments", """WITH s AS (SELECT var_pop(class_1) AS s11, var_pop(class_9) AS s22, covar_pop(class_1, class_9) AS s12, covar_pop(class_1, total) AS s1y,
+  covar_pop(class_9, total) AS s2y, AVG(class_1) AS m1, AVG(class_9) AS m2, AVG(total) AS my FROM traffic_history),
+b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s)
+SELECT 'class_1' AS feature, ROUND(b1, 4) AS coefficient FROM b UNION ALL SELECT 'class_9', ROUND(b2, 4) FROM b
+UNION ALL SELECT 'intercept', ROUND(my - b1 * m1 - b2 * m2, 4) FROM b""")
+def lr_moments(spark, d):
+    """Two coefficients from moments of the early and the late years, added up."""
+    rows, features = t.traffic_history(spark, d).select("date", "class_1", "class_9", "total"), ["class_1", "class_9"]
+    parts = [fc.moment_table(rows.filter(part), features, "total") for part in (F.year("date") < 1999, F.year("date") >= 1999)]
+    return rounded(fc.solve_moments(fc.add_moments(parts), features), ["coefficient"])
+
+
 @query("fc_hourly_lr", """SELECT (SELECT COUNT(DISTINCT time) FROM traffic_history) * (SELECT COUNT(DISTINCT fac_g) FROM traffic_history) * 36 AS n,
   CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing_between_years, (SELECT COUNT(DISTINCT fac_g) FROM traffic_history) AS means_kept""")
 def fc_hourly_lr(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from forecastops.catalog.registry import query
@@ -182,6 +183,16 @@ def feat_onehot(spark, d):
     return p.one_hot(t.traffic_history(spark, d).select("date", "time", "total", "fac_g"), "fac_g", levels).drop("fac_g")
 
 
+@query("feat_onehot_learned", """WITH c AS (SELECT fac_g AS level, COUNT(*) AS n FROM traffic_history GROUP BY fac_g)
+SELECT level, CAST(row_number() OVER (ORDER BY n DESC, level) - 1 AS INT) AS place, (SELECT CAST(COUNT(*) + 1 AS INT) FROM c) AS width, n FROM c""")
+def feat_onehot_learned(spark, d):
+    """Place of every row's level in a vector whose levels come from the data."""
+    rows = t.traffic_history(spark, d).select(F.col("fac_g").alias("level"))
+    marks = vector_to_array("v")
+    marked = p.learn_levels(rows, "level").vector(rows, "v").select("level", (F.array_position(marks, F.lit(1.0)) - 1).cast("int").alias("place"), F.size(marks).alias("width"))
+    return marked.groupBy("level", "place", "width").agg(F.count(F.lit(1)).alias("n"))
+
+
 def normal_sql(key):
     """Box-Muller draw of a text key, for the comparison SQL."""
     def u(tail):

@@ -82,6 +82,19 @@ def join_right_chain(spark, d):
     return j.right_join_chain(spine, [a, p], keys)
 
 
+@query("join_right_chain_whole", """WITH td AS (SELECT DISTINCT strftime(date, '%Y') AS year, strftime(date, '%m') AS month FROM traffic_history)
+SELECT td.year, td.month, a.route, a.buses_count, d.start_date, d.total FROM td
+RIGHT JOIN terminal_a a ON td.year = substring(a.date,1,4) AND td.month = substring(a.date,6,2)
+RIGHT JOIN passenger_weekly d ON td.year = strftime(d.start_date, '%Y') AND td.month = strftime(d.start_date, '%m')""")
+def join_right_chain_whole(spark, d):
+    """The chain over the whole history; weeks after its last month give the null rows."""
+    keys = ["year", "month"]
+    spine = r.text_months(t.traffic_history(spark, d), "date").select(*keys).distinct()
+    a = r.text_months(t.terminal_a(spark, d), "date").select(*keys, "route", "buses_count")
+    p = r.text_months(t.passenger_weekly(spark, d), "start_date").select(*keys, "start_date", "total")
+    return j.right_join_chain(spine, [a, p], keys)
+
+
 @query("join_preagg_multi", f"""WITH wm AS ({WEATHER_MONTH}), tm AS ({TERMINAL_MONTH})
 SELECT c.year, c.month, c.total, tm.total_buses, wm.tmax FROM carrier_monthly c
 LEFT JOIN tm ON c.year = tm.year AND c.month = tm.month LEFT JOIN wm ON c.year = wm.year AND c.month = wm.month""")
@@ -220,7 +233,7 @@ def agg_range_counts(spark, d):
     f"CAST(SUM(CASE WHEN year(date) = {y} THEN total END) AS BIGINT) AS y{y}" for y in range(1995, 2002)) + " FROM traffic_history GROUP BY fac_g")
 def agg_pivot_year(spark, d):
     rows = t.traffic_history(spark, d).select(F.col("fac_g").alias("facility"), F.year("date").alias("year"), "total")
-    return agg.pivot_sum(rows, ["facility"], "year", {y: f"y{y}" for y in range(1995, 2002)}, "total")
+    return agg.pivot_found(rows, ["facility"], "year", "total", "y")
 
 
 @query("agg_unpivot_series", " UNION ALL ".join(f"SELECT year, month, '{c}' AS series, {c} AS value FROM carrier_monthly" for c in C6))

@@ -47,6 +47,25 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], pivot: str, values: Mapping[ob
     return df.groupBy(*keys).agg(*wide)
 
 
+def found_values(df: DataFrame, col: str, limit: int) -> list | None:
+    """The different values of a column in order, null left out; None where there are more than ``limit``."""
+    rows = df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else sorted(r[0] for r in rows)
+
+
+def pivot_found(df: DataFrame, keys: Sequence[str], pivot: str, value: str, prefix: str = "", limit: int = 200) -> DataFrame:
+    """Long to wide over the values that the table holds.
+
+    Two phases: the values, at most ``limit`` of them reach the driver, and then one conditional aggregate. With more
+    values a wide table would grow with the data: the result is then long, with the sum of every key and value.
+    Rows whose pivot value is null belong to no column but keep their key.
+    """
+    values = found_values(df, pivot, limit)
+    if values is None:
+        return sum_by(df, [*keys, pivot], [value])
+    return pivot_sum(df, keys, pivot, {v: f"{prefix}{v}" for v in values}, value)
+
+
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str, value: str) -> DataFrame:
     """Wide to long, one row per value column."""
     return df.unpivot(list(ids), list(values), name, value)

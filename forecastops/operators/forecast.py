@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,45 @@ def fit_linear(train: DataFrame, features: Sequence[str], label: str, category:
     return LinearFit(inputs, coefficients, intercept, score, category, effects)
 
 
+def moment_table(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts, sums and sums of products of features and label for each group, in one aggregate.
+
+    Such tables add up: see :func:`add_moments`. Rows with a missing value are left out.
+    """
+    names = [*features, label]
+    rows = df.dropna(subset=names).select(*by, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(len(names))]
+    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+
+
+def add_moments(tables: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The moments of all rows together, from those of parts: days that come later are added, not read again."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy(*by).agg(*[F.sum(c).alias(c) for c in out.columns if c not in by])
+
+
+def solve_moments(moments: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``feature, coefficient`` of the least-squares fit behind a moment table of one row, ``intercept`` among them.
+
+    The equations have one row for each feature, so they are solved in one place. Features that others
+    determine share their weight (least norm). Without rows there is no coefficient.
+    """
+    spark, k = moments.sparkSession, len(features)
+    row = moments.first()
+    if row is None or not row["n"]:
+        return spark.createDataFrame([], "feature string, coefficient double")
+    n, s = row["n"], np.array([row[f"s{i}"] for i in range(k + 1)])
+    p = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    centred = p - np.outer(s, s) / n
+    scale = np.sqrt(np.where(np.diag(centred)[:k] > 0, np.diag(centred)[:k], 1.0))
+    weights = np.linalg.lstsq(centred[:k, :k] / np.outer(scale, scale), centred[:k, k] / scale, rcond=1e-12)[0] / scale
+    rows = [*zip(features, weights.tolist()), ("intercept", float((s[k] - weights @ s[:k]) / n))]
+    return spark.createDataFrame(rows, "feature string, coefficient double")
+
+
 def tree_vector(df: DataFrame, features: Sequence[str], name: str = "__x") -> DataFrame:
     """Feature vector for tree models with missing values set to one level."""
     cols = [f"__f{i}" for i in range(len(features))]
@@ -154,36 +194,55 @@ def fit_many(train: DataFrame, features: Sequence[str], labels: Sequence[str], p
     return score
 
 
+def staged_settings(grid: Sequence[BoostParams]) -> list[list[BoostParams]]:
+    """Settings that differ in their number of trees alone, together; the largest last.
+
+    Tree ``m`` of a fit does not depend on how many follow, so the largest fit answers for all of its group.
+    """
+    groups: dict[BoostParams, list[BoostParams]] = {}
+    for p in grid:
+        groups.setdefault(replace(p, n_estimators=1), []).append(p)
+    return [sorted(g, key=lambda p: p.n_estimators) for g in groups.values()]
+
+
 def time_series_cv(df: DataFrame, features: Sequence[str], label: str, position: str, n_splits: int,
                    grid: Sequence[BoostParams], monthly: bool = False) -> tuple[BoostParams, list[tuple[BoostParams, int, float]]]:
     """Expanding-window search: every fold trains on rows before its test block only.
 
     Returns the setting with the lowest mean squared error over the folds, and the error of every fold.
-    ``position`` is the dense 0-based order; rows of several series may share one. Scores are one number per fit.
+    ``position`` is the dense 0-based order; rows of several series may share one. Settings that differ in their number
+    of trees take one fit, scored after each tree. Folds without training or test rows are left out; where none is
+    left, the first setting is returned. Scores are one number per setting and fold.
     """
     rows = tree_vector(df.dropna(subset=[label]), features).select(
-        "__x", F.col(label).cast("double").alias("__y"), F.col(position).alias("__pos")).coalesce(1 if monthly else 32).persist()
+        "__x", F.col(label).cast("double").alias("__y"), F.col(position).alias("__pos"))
+    # A monthly table is bounded by the calendar; in one partition each boosting step is one task.
+    rows = (rows.coalesce(1) if monthly else rows).persist()
     try:
         n = (rows.agg(F.max("__pos")).first()[0] or 0) + 1
         size = n // (n_splits + 1)
         starts = [n - (n_splits + 1 - i) * size for i in range(1, n_splits + 1)]
 
         def run(job):
-            params, fold, start = job
-            model = params.estimator("__x", "__y", "__p").fit(rows.filter(F.col("__pos") < start))
-            test = rows.filter((F.col("__pos") >= start) & (F.col("__pos") < start + size))
-            mse = model.transform(test).agg(F.avg(F.pow(F.col("__y") - F.col("__p"), 2))).first()[0]
-            return params, fold, float(mse)
-
-        jobs = [(p, i + 1, s) for p in grid for i, s in enumerate(starts)]
+            settings, fold, start = job
+            train, test = rows.filter(F.col("__pos") < start), rows.filter((F.col("__pos") >= start) & (F.col("__pos") < start + size))
+            if train.isEmpty() or test.isEmpty():
+                return []
+            model = settings[-1].estimator("__x", "__y", "__p").fit(train)
+            errors = model.evaluateEachIteration(test, "squared")
+            # Without anything left to learn Spark stops early; the trees there are stand for all later ones.
+            return [(p, fold, float(errors[min(p.n_estimators, len(errors)) - 1])) for p in settings]
+
+        jobs = [(g, i + 1, s) for g in staged_settings(grid) for i, s in enumerate(starts)] if size else []
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            scores = list(pool.map(run, jobs))
+            found = {(p, fold): e for scores in pool.map(run, jobs) for p, fold, e in scores}
     finally:
         rows.unpersist()
+    scores = [(p, fold, found[p, fold]) for p in grid for fold in range(1, n_splits + 1) if (p, fold) in found]
 
     def mean_error(p):
         errors = [s for q, _, s in scores if q == p]
-        return sum(errors) / len(errors)
+        return sum(errors) / len(errors) if errors else math.inf
 
     return min(grid, key=mean_error), scores
 

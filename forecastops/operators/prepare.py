@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,3 +177,37 @@ def jitter(df: DataFrame, history: DataFrame, cols: Sequence[str], key: Column,
 def one_hot(df: DataFrame, col: str, levels: Mapping[object, str]) -> DataFrame:
     """One 0/1 column per declared level, all levels kept."""
     return df.select("*", *[F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(n) for v, n in levels.items()])
+
+
+@dataclass
+class LevelDictionary:
+    """Levels of a category, most frequent first and then by name, with one more for what was not seen."""
+
+    column: str
+    levels: list[str]
+    left_out: int
+
+    def vector(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with a sparse 0/1 vector: one place for each level, the last for unseen, left out or missing ones."""
+        indexer = StringIndexerModel.from_labels(self.levels or [""], inputCol="__level", outputCol="__index", handleInvalid="keep")
+        known = indexer.transform(df.withColumn("__level", F.col(self.column).cast("string")))
+        # The number of levels is in the index column's metadata: fitting reads no rows.
+        encoder = OneHotEncoder(inputCol="__index", outputCol=name, dropLast=False).fit(known)
+        return encoder.transform(known).drop("__level", "__index")
+
+    def columns(self, df: DataFrame, prefix: str) -> DataFrame:
+        """``df`` with one 0/1 column for each level and ``<prefix>other`` for all else."""
+        own = F.col(self.column).cast("string")
+        marks = [F.coalesce((own == v).cast("int"), F.lit(0)).alias(f"{prefix}{v}") for v in self.levels]
+        return df.select("*", *marks, (~F.coalesce(own.isin(self.levels), F.lit(False))).cast("int").alias(f"{prefix}other"))
+
+
+def learn_levels(df: DataFrame, col: str, limit: int = 1000) -> LevelDictionary:
+    """The ``limit`` most frequent levels of a column as text, ties by name; ``left_out`` tells how many there are besides.
+
+    Counted in one grouped aggregate; at most ``limit`` names reach the driver.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
+    levels = [r["level"] for r in counts.orderBy(F.desc("n"), "level").limit(limit).collect()]
+    return LevelDictionary(col, levels, counts.count() - len(levels))

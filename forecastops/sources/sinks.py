@@ -25,6 +25,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     return path
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> str:
+    """Write ``df`` over just those partitions of ``path`` that it has rows of; all others stay.
+
+    A rerun of one month or facility gives the same table as the first run. Written with dynamic partition overwrite:
+    the new files are moved in when all tasks are done.
+    """
+    writer = df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.format(fmt).save(path)
+    return path
+
+
 def write_all(tables: Mapping[str, DataFrame], folder: str, fmt: str = "csv", mode: str = "errorifexists") -> dict[str, str]:
     """Export several result tables, one sub-folder each."""
     return {name: write_table(df, f"{folder}/{name}", fmt, mode=mode) for name, df in tables.items()}

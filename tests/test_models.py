@@ -236,3 +236,38 @@ def test_checks_notice_a_constant_model(spark, monkeypatch, name):
     monkeypatch.setattr(pl, "fit_forest", lambda *a, **k: lambda df: df.withColumn("prediction", F.lit(0)))
     con = oracle.connect("/root/testdata/sf0.001")
     assert oracle.differences(QUERIES[name](spark, "/root/testdata/sf0.001"), con, ORACLES[name])
+
+
+def test_moments_add_up_to_the_fit(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(1000, 3, (400, 3))
+    rows = spark.createDataFrame([(k % 7, *map(float, v), float(5 + v @ [1.5, -2, 0.25] + rng.normal())) for k, v in enumerate(x)] + [(0, None, 1.0, 1.0, 1.0)],
+                                 "day int, a double, b double, c double, y double")
+    features = ["a", "b", "c"]
+    parts = [fc.moment_table(rows.where(F.col("day") == d), features, "y") for d in range(7)]
+    got = {r.feature: r.coefficient for r in fc.solve_moments(fc.add_moments(parts), features).collect()}
+    fit = fc.fit_linear(rows, features, "y")
+    np.testing.assert_allclose([got[f] for f in features], fit.coefficients, rtol=1e-8)
+    assert got["intercept"] == pytest.approx(fit.intercept, abs=1e-8 * 1000)  # the difference of means near 1000
+    grouped = fc.add_moments([fc.moment_table(rows, features, "y", ["day"])], ["day"])
+    assert grouped.count() == 7 and grouped.agg(F.sum("n")).first()[0] == 400
+    assert fc.solve_moments(fc.moment_table(rows.limit(0), features, "y"), features).count() == 0
+
+
+def test_one_fit_answers_for_fewer_trees(spark):
+    rows = spark.createDataFrame([(k, float(k % 5), float(k % 3), float((k * 7) % 11 + k % 5)) for k in range(40)], "position int, a double, b double, y double")
+    grid = fc.param_grid(n_estimators=[2, 5], max_depth=[2], subsample=[0.8, 1.0])
+    assert [[p.n_estimators for p in g] for g in fc.staged_settings(grid)] == [[2, 5], [2, 5]]
+    best, scores = fc.time_series_cv(rows, ["a", "b"], "y", "position", 2, grid, monthly=True)
+    assert len(scores) == 8 and best in grid
+    alone = [s for p in grid for s in fc.time_series_cv(rows, ["a", "b"], "y", "position", 2, [p], monthly=True)[1]]
+    assert [(p, f) for p, f, _ in scores] == [(p, f) for p, f, _ in alone]
+    np.testing.assert_allclose([e for _, _, e in scores], [e for _, _, e in alone], rtol=1e-9)
+
+
+def test_search_of_a_series_too_short_for_its_folds(spark):
+    grid = fc.param_grid(n_estimators=[2], max_depth=[2])
+    short = spark.createDataFrame([(k, 1.0, float(k)) for k in range(3)], "position int, a double, y double")
+    assert fc.time_series_cv(short, ["a"], "y", "position", 5, grid) == (grid[0], [])
+    gap = spark.createDataFrame([(k, 1.0, float(k) if k > 9 else None) for k in range(20)], "position int, a double, y double")
+    assert [fold for _, fold, _ in fc.time_series_cv(gap, ["a"], "y", "position", 3, grid)[1]] == [2, 3]

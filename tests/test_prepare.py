@@ -35,9 +35,23 @@ def test_imputation_can_ignore_the_holdout_and_keep_zero(spark):
     assert sorted(r.a for r in got.collect()) == [0.0, 0.5, 0.5, 1.0, 100.0]
 
 
-def test_season_must_be_a_calendar_part(spark):
-    with pytest.raises(ValueError):
-        p.impute_seasonal(spark.range(1000).withColumn("a", F.lit(1.0)), ["a"], by="id", stat="mean")
+def test_a_thousand_seasons_are_imputed(spark):
+    df = spark.range(4000).select((F.col("id") % 1000).alias("s"), F.when(F.col("id") < 1000, None).otherwise(F.col("id") + 1.0).alias("a"))
+    got = p.impute_seasonal(df, ["a"], by="s", stat="mean")
+    assert got.count() == 4000 and got.where(F.col("a").isNull()).count() == 0
+    filled = {r.s: r.low for r in got.groupBy("s").agg(F.min(F.when(F.col("a") == F.col("s") + 2001, F.col("a"))).alias("low")).collect()}
+    assert filled == {s: s + 2001.0 for s in range(1000)}  # the mean of s + 1001, s + 2001 and s + 3001
+
+
+def test_levels_are_learned_from_the_data(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,), ("a",), ("d",)], "k string")
+    levels = p.learn_levels(df, "k", limit=3)
+    assert levels.levels == ["a", "c", "b"] and levels.left_out == 1
+    rows = levels.columns(df, "k_").collect()
+    assert {r.k: (r.k_a, r.k_c, r.k_b, r.k_other) for r in rows} == {"a": (1, 0, 0, 0), "c": (0, 1, 0, 0), "b": (0, 0, 1, 0), "d": (0, 0, 0, 1), None: (0, 0, 0, 1)}
+    vectors = {r.k: r.v for r in levels.vector(df, "v").collect()}
+    assert {k: (v.size, v.indices.tolist()) for k, v in vectors.items()} == {"a": (4, [0]), "c": (4, [1]), "b": (4, [2]), "d": (4, [3]), None: (4, [3])}
+    assert p.learn_levels(df.limit(0), "k").levels == []
 
 
 def test_reshape(spark):
