@@ -37,6 +37,7 @@ class Layout:
 
     ``each``: path of a list of messages, with the names of their ``role`` and ``text`` fields. Otherwise ``parts``
     lists (role, path) in order. ``role`` and ``text`` without ``each`` are the fields of a record that is a turn.
+    ``renames``: roles go by other names there (``ROLE_NAMES``); all other layouts keep theirs as they are.
     """
 
     name: str
@@ -44,6 +45,7 @@ class Layout:
     role: str = ""
     text: str = ""
     parts: Sequence[tuple[str, str]] = field(default=())
+    renames: bool = False
 
     def paths(self) -> list[str]:
         if self.each:
@@ -54,7 +56,7 @@ class Layout:
 LAYOUTS = (
     Layout("turn", role="role", text="text"),
     Layout("messages", each="messages", role="role", text="content"),
-    Layout("from_value", each="conversations", role="from", text="value"),
+    Layout("from_value", each="conversations", role="from", text="value", renames=True),
     Layout("nested_messages", each="data.messages", role="role", text="content"),
     Layout("prompt_completion", parts=(("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", parts=(("user", "prompt"), ("assistant", "response"))),
@@ -106,7 +108,8 @@ def canonical_turns(records: DataFrame, column: str = "record", layouts: Sequenc
     rows = rows.select(F.try_variant_get("parsed", "$.conv_id", "bigint").alias("conv_id"), "layout", F.explode(turns).alias("t"))
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     role = plain_text(F.col("t.role"))
-    return rows.select("conv_id", F.col("t.turn").alias("turn"), F.coalesce(names[role], role).alias("role"), plain_text(F.col("t.text")).alias("text"), "layout")
+    renamed = F.when(F.col("layout").isin([layout.name for layout in layouts if layout.renames]), F.coalesce(names[role], role)).otherwise(role)
+    return rows.select("conv_id", F.col("t.turn").alias("turn"), renamed.alias("role"), plain_text(F.col("t.text")).alias("text"), "layout")
 
 
 def unmapped(records: DataFrame, column: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:

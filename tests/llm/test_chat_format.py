@@ -43,3 +43,11 @@ def test_what_fits_no_layout_is_reported(spark):
     assert sorted(map(str, [r["record"] for r in c.unmapped(frame(spark, odd)).collect()])) == sorted(map(str, odd))
     assert c.unmapped(frame(spark, [json.dumps(r) for r in RECORDS])).count() == 0
     assert c.format_chats(c.canonical_turns(frame(spark, []))).count() == 0
+
+
+def test_only_layouts_with_other_names_rename_roles(spark):
+    records = [{"conv_id": 1, "turn": k, "role": role, "text": "x"} for k, role in enumerate(["human", "model", "gpt", "assistant"])]
+    records += [{"conv_id": 2, "messages": [{"role": "bot", "content": "y"}]}, {"conv_id": 3, "conversations": [{"from": "bot", "value": "z"}]}]
+    turns = c.canonical_turns(frame(spark, [json.dumps(r) for r in records])).collect()
+    assert sorted((r["conv_id"], r["turn"], r["role"]) for r in turns) == [
+        (1, 0, "human"), (1, 1, "model"), (1, 2, "gpt"), (1, 3, "assistant"), (2, 0, "bot"), (3, 0, "assistant")]
