@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from forecastops.functions import clip, keyed_normal
 from forecastops.operators.joins import small_side
 from forecastops.operators.quantiles import small_group_quantiles
-from forecastops.session import cut_lineage
+from forecastops.session import cut_lineage, path_exists, scratch_path
 
 MISSING_LEVEL = -1.0e9  # below every real value: trees send missing weather to the low side
 PARALLEL_FITS = 4
@@ -247,6 +248,54 @@ def time_series_cv(df: DataFrame, features: Sequence[str], label: str, position:
     return min(grid, key=mean_error), scores
 
 
+def series_errors(df: DataFrame, features: Sequence[str], label: str, position: str, n_splits: int, grid: Sequence[BoostParams],
+                  series: str = "series", folder: str | None = None) -> DataFrame:
+    """``setting`` (place in ``grid``), ``fold``, ``series``, ``error`` and test ``rows`` of an expanding-window search over pooled series.
+
+    One model for each setting and fold, whatever the number of series; its mean squared errors by series are written at
+    once. In a ``folder`` of its own a search that was interrupted goes on where it stopped: a setting and fold whose
+    table is complete is not fitted again. The folder belongs to one table of rows.
+    """
+    spark = df.sparkSession
+    rows = tree_vector(df.dropna(subset=[label]), features).select(
+        "__x", F.col(label).cast("double").alias("__y"), F.col(position).alias("__pos"), F.col(series).alias("series")).persist()
+    folder = folder or scratch_path(spark, "search")
+    try:
+        n = (rows.agg(F.max("__pos")).first()[0] or 0) + 1
+        size = n // (n_splits + 1)
+
+        def run(job):
+            params, fold = job
+            start = n - (n_splits + 1 - fold) * size
+            path = f"{folder}/{hashlib.md5(repr((params, fold, n_splits, n)).encode()).hexdigest()}"
+            if not path_exists(spark, f"{path}/_SUCCESS"):
+                train, test = rows.filter(F.col("__pos") < start), rows.filter((F.col("__pos") >= start) & (F.col("__pos") < start + size))
+                if train.isEmpty() or test.isEmpty():
+                    return None
+                scored = params.estimator("__x", "__y", "__p").fit(train).transform(test)
+                errors = scored.groupBy("series").agg(F.avg(F.pow(F.col("__y") - F.col("__p"), 2)).alias("error"), F.count(F.lit(1)).alias("rows"))
+                errors.coalesce(1).write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path).select(F.lit(grid.index(params)).alias("setting"), F.lit(fold).alias("fold"), "series", "error", "rows")
+
+        jobs = [(p, fold) for p in grid for fold in range(1, n_splits + 1)] if size else []
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            tables = [t for t in pool.map(run, jobs) if t is not None]
+    finally:
+        rows.unpersist()
+    if not tables:
+        return spark.createDataFrame([], "setting int, fold int, series string, error double, rows long")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def chosen_settings(errors: DataFrame) -> DataFrame:
+    """``series`` and the ``setting`` of its lowest mean error over the folds; the first of equal ones."""
+    means = errors.groupBy("series", "setting").agg(F.avg("error").alias("error"))
+    return means.groupBy("series").agg(F.min(F.struct("error", "setting"))["setting"].alias("setting"))
+
+
 def series_bounds(long: DataFrame, series: str = "series", value: str = "value") -> DataFrame:
     """Clip bounds per series: 5 % quantile of the positive values and 95 % quantile of all.
 

@@ -15,7 +15,8 @@ from forecastops.operators.aggregates import group_keyed, pivot_sum, union_all
 from forecastops.operators.compare import calendar_cube, recovery_summary, year_pair
 from forecastops.operators.evaluate import actual_vs_predicted, class_report, forecast_metrics
 from forecastops.operators.forecast import (PARALLEL_FITS, BoostParams, LinearFit, counts_from_log, fit_boosted, fit_linear, fit_many, log_target,
-                                            param_grid, season_adjust, series_bounds, time_series_cv)
+                                            chosen_settings, param_grid, season_adjust, series_bounds, series_errors,
+                                            time_series_cv)
 from forecastops.operators.joins import calendar_side, measured_side
 from forecastops.operators.ordered import interpolate_linear, lag_features, top_k, with_positions
 from forecastops.operators.prepare import attach_climatology, hourly_by_facility, hourly_features, impute_seasonal, jitter
@@ -76,7 +77,10 @@ HOURLY_PARAMS = BoostParams(n_estimators=300, learning_rate=0.05, max_depth=6)
 
 @dataclass
 class SeriesForecast:
-    """Results of :func:`series_forecast`; every table is lazy."""
+    """Results of :func:`series_forecast`; every table is lazy.
+
+    ``series_scores`` has the fold errors of every series; in pooled mode ``fold_scores`` has those of all rows together.
+    """
 
     history: DataFrame
     params: Mapping[str, BoostParams]
@@ -86,6 +90,7 @@ class SeriesForecast:
     metrics: DataFrame
     forecast: DataFrame
     combined: DataFrame
+    series_scores: Sequence[tuple] = ()
 
 
 def prepare_series(df: DataFrame, series: Sequence[str], weather: Sequence[str], zero_is_missing: bool = True,
@@ -130,9 +135,9 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
 
     ``history`` comes from :func:`prepare_series`. Models train on the years before ``holdout_year`` and
     are scored on that year. ``per_series`` fits one model per column, each with the best setting of
-    ``grid``; ``pooled`` searches and fits a single model over all series, scaled by their level (1 where the
-    level is smaller), which is the way for very many series since the work no longer grows with one job per
-    series. ``fitted`` holds the training rows with their predictions.
+    ``grid``; ``pooled`` fits models over all series, scaled by their level (1 where the level is smaller): one for
+    each setting and fold of the search and one for each setting that some series chose, so the number of fits does not
+    grow with the number of series. ``fitted`` holds the training rows with their predictions.
     """
     features = [*weather, "year", "month"]
     train, holdout = history.filter(F.col("year") < holdout_year), history.filter(F.col("year") == holdout_year)
@@ -140,6 +145,7 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
 
     if mode == "per_series":
         params, scores = search_series(train, features, series, list(grid), n_splits)
+        by_series = scores
         score = fit_many(train, features, series, params)
         columns = {c: (c, f"{c}__p") for c in series}
         pairs = actual_vs_predicted(score(holdout), ["month_start"], columns)
@@ -155,9 +161,21 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
         months = with_positions(train.select("month_start").distinct(), [], ["month_start"], F.year("month_start"))
         scaled = long.join(levels, "series").join(calendar_side(months), "month_start")
         scaled = cut_lineage(scaled.withColumn("label", F.col("value") / F.col("level")))
-        best, found = time_series_cv(scaled, [*features, "level"], "label", "position", n_splits, list(grid))
-        params, scores = {c: best for c in series}, [("all", *s) for s in found]
-        score = fit_boosted(scaled, [*features, "level"], "label", best)
+        inputs, settings = [*features, "level"], list(grid)
+        errors = series_errors(scaled, inputs, "label", "position", n_splits, settings)
+        choice = measured_side(levels.select("series").join(chosen_settings(errors), "series", "left").na.fill(0, ["setting"]))
+        # The series are columns of a wide table: their settings and fold errors are a bounded list.
+        params = {r["series"]: settings[r["setting"]] for r in choice.collect()}
+        by_series = [(r["series"], settings[r["setting"]], r["fold"], r["error"]) for r in errors.collect()]
+        whole = errors.groupBy("setting", "fold").agg((F.sum(F.col("error") * F.col("rows")) / F.sum("rows")).alias("error")).orderBy("setting", "fold")
+        scores = [("all", settings[r["setting"]], r["fold"], r["error"]) for r in whole.collect()]
+        # One model over all series for each setting in use; every series is scored by the one it chose.
+        fits = {k: fit_boosted(scaled, inputs, "label", settings[k]) for k in sorted({settings.index(p) for p in params.values()})}
+
+        def score(rows: DataFrame, name: str) -> DataFrame:
+            own = rows.join(choice, "series")
+            return union_all([fit(own.filter(F.col("setting") == k), name) for k, fit in fits.items()]).drop("setting")
+
         back = F.col("p") * F.col("level")
         outcome = ["month_start", "series", F.col("value").alias("actual"), back.alias("predicted")]
         pairs = score(_long(holdout, series, weather).join(levels, "series"), "p").select(*outcome)
@@ -172,7 +190,7 @@ def series_forecast(history: DataFrame, series: Sequence[str], weather: Sequence
     wide = pivot_sum(forecast, ["month_start"], "series", {c: c for c in series}, "forecast")
     wide = wide.join(calendar_side(future), "month_start").select("month_start", "year", "month", *series, *weather)
     past = history.select("month_start", "year", "month", *[F.col(c).cast("double").alias(c) for c in series], *weather)
-    return SeriesForecast(history, params, scores, fitted, pairs, forecast_metrics(pairs, ["series"]), forecast, past.unionByName(wide))
+    return SeriesForecast(history, params, scores, fitted, pairs, forecast_metrics(pairs, ["series"]), forecast, past.unionByName(wide), by_series)
 
 
 # --- segments and high-traffic months ----------------------------------------------------------------

@@ -43,6 +43,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder through Spark's own file system layer."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

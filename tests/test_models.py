@@ -270,4 +270,28 @@ def test_search_of_a_series_too_short_for_its_folds(spark):
     short = spark.createDataFrame([(k, 1.0, float(k)) for k in range(3)], "position int, a double, y double")
     assert fc.time_series_cv(short, ["a"], "y", "position", 5, grid) == (grid[0], [])
     gap = spark.createDataFrame([(k, 1.0, float(k) if k > 9 else None) for k in range(20)], "position int, a double, y double")
-    assert [fold for _, fold, _ in fc.time_series_cv(gap, ["a"], "y", "position", 3, grid)[1]] == [2, 3]
+    assert [fold for _, fold, _ in fc.time_series_cv(gap, ["a"], "y", "position", 3, grid)[1]] == [3]  # nothing to train on before
+
+
+def test_pooled_search_chooses_for_each_series(spark, monthly, tmp_path):
+    grid = fc.param_grid(n_estimators=[1, 4], max_depth=[1, 3], subsample=[1.0])
+    out = pl.series_forecast(monthly, ["s1", "s2"], WEATHER, 2000, "2001-01-01", "2001-03-01", grid, 2, mode="pooled")
+    mean = {(s, p): np.mean([e for t, q, _, e in out.series_scores if (t, q) == (s, p)]) for s in ("s1", "s2") for p in grid}
+    assert len(out.series_scores) == 2 * 4 * 2 and all(mean[s, out.params[s]] == min(mean[s, q] for q in grid) for s in ("s1", "s2"))
+    got = {(r.series, r.month_start): r.predicted for r in out.fitted.collect()}
+    assert len(got) == 2 * 60
+    for s in ("s1", "s2"):  # the same as one model of that setting over all series
+        alone = pl.series_forecast(monthly, ["s1", "s2"], WEATHER, 2000, "2001-01-01", "2001-03-01", [out.params[s]], 2, mode="pooled")
+        for r in alone.fitted.where(F.col("series") == s).collect():
+            assert got[s, r.month_start] == pytest.approx(r.predicted, rel=1e-9)
+
+
+def test_a_search_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(s, k, float(k % 5), float((k * 7) % 11 + k % 5)) for k in range(40) for s in ("x", "y")], "series string, position int, a double, y double")
+    grid, folder = fc.param_grid(n_estimators=[2], max_depth=[1, 2]), str(tmp_path / "search")
+    first = sorted(map(tuple, fc.series_errors(rows, ["a"], "y", "position", 2, grid, folder=folder).collect()))
+    assert len(first) == 2 * 2 * 2
+    monkeypatch.setattr(fc.BoostParams, "estimator", lambda *a: pytest.fail("fitted again"))
+    assert sorted(map(tuple, fc.series_errors(rows, ["a"], "y", "position", 2, grid, folder=folder).collect())) == first
+    with pytest.raises(pytest.fail.Exception):
+        fc.series_errors(rows, ["a"], "y", "position", 2, fc.param_grid(n_estimators=[3], max_depth=[1]), folder=folder)
