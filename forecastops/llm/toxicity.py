@@ -1,15 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-One model for toxic and one for ordinary text give every word a probability. A word's own class counts are
-discounted, and the mass taken off goes to the class's counts of its beginning (six, then five, then four letters),
-counted Kneser-Ney fashion by the different contexts (word and document) in which they occur, however often; the last
-mass goes to counts that both classes share. Expressions that are rare, or no more frequent in one class than chance would have it, keep no class
-counts of their own: both classes then use the shared counts, and they say nothing about the class. A document's
-figure is its log-likelihood ratio divided by its number of words; a logistic curve turns it into a score.
-
-Words are lower-cased runs of letters and digits. They are counted over all labelled documents outside the held-out
-fold, in Spark; the model keeps at most ``max_entries`` expressions a level, those that separate the classes most,
-so its size is bounded. The curve is fitted to at most ``max_rows`` of those documents (first by a hash of the id).
+"""Toxicity by class-conditional models of a word after the word before it, backing off to shared counts.
+
+One model for toxic and one for ordinary text give every word a probability. Expressions are counted by the different
+documents that hold them, however often, as Kneser-Ney counts contexts. Each class backs off from a word after the word before
+it to the word, then to its first six, five and four letters, and at last to counts that both classes share. At every
+level the level below says how many of an expression's documents each class should hold; absolute discounting takes
+up to ``discount`` deviations off what a class holds more or less than that, and gives it back to the level below.
+So a rare expression, or one no more frequent in one class than the level below has it, keeps the shared counts and
+says nothing about the class. A document's figure is its log-likelihood ratio divided by its number of words; a
+logistic curve turns it into a score. An unseen word has the probability of its longest known beginning.
+
+Words are lower-cased runs of letters and digits, counted in Spark over all labelled documents outside the held-out
+fold; pairs of words by 64-bit hashes of both. The model is a table with a row for each expression whose share departs
+from the level below, however many there are: up to ``max_local`` rows it is sent to the tasks, beyond that the
+documents' own expressions are joined to it, hot ones dealt to several tasks. The curve is fitted to at most
+``max_rows`` of the labelled documents (first by a hash of the id).
 
 Defined results: null and empty texts have ratio 0 and the score of it; null labels and labels without a document
 are left out; without any labelled row, or with one class only, every ratio is 0 and the score is the smoothed share
@@ -19,28 +23,43 @@ of toxic rows; repeated rows count and score alike; texts are read whole; an emp
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forecastops.llm.common import TOKEN, fold, plain_text, shared_rows
+from forecastops.llm.common import TOKEN, fold, plain_text, salted_lookup, shared_rows
 
 HOLD_OUT, HELD = 3, 1
 THRESHOLD = 0.7
-DISCOUNT = 0.75
-MIN_DOCUMENTS = 5
-MIN_DIVERGENCE = 25.0
-MAX_ENTRIES = 50_000
+DISCOUNT = 3.0
+MAX_LOCAL = 200_000
 MAX_ROWS = 20_000
-PREFIXES = (0, 6, 5, 4)  # 0: the word itself
+PREFIXES = (4, 5, 6, 0)  # 0: the word itself
+START = 0  # stands before the first word of a text
+FLUSH = 300_000
 CACHE_WORDS = 500_000
 
 
+def word_hash(word: str) -> int:
+    """What ``xxhash64`` of the word gives in Spark, as a signed number."""
+    value = xxhash.xxh64_intdigest(word.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+class Hashes(dict):
+    """Hash of each word met, forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = word_hash(word)
+        return value
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
     """``id``, ``text`` and ``toxic`` (0/1) of the labelled documents outside the held-out fold."""
     marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("mark")).where(F.col("mark").isNotNull() & (fold(F.col("id"), parts) != held))
@@ -49,82 +68,191 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, he
     return rows.join(marks.hint("merge"), "id").select("id", "text", (F.col("mark") > 0).cast("int").alias("toxic"))
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """``word`` with its occurrences and documents in either class over all rows; summed within batches first."""
+def count_expressions(rows: DataFrame) -> DataFrame:
+    """Documents of either class with each word (``word``) and each word pair (``first``, ``second``; ``word`` null).
+
+    Counts are summed within tasks first, a bounded number of expressions at a time.
+    """
+    def table(words: dict, pairs: dict) -> pd.DataFrame:
+        codes = np.zeros((len(words) + len(pairs), 2), np.int64)
+        codes[len(words):] = np.array(list(pairs), np.int64).reshape(-1, 2)
+        counts = np.array([*words.values(), *pairs.values()], np.int64)
+        return pd.DataFrame({"word": [*words, *[None] * len(pairs)], "first": codes[:, 0], "second": codes[:, 1],
+                             "toxic": counts >> 32, "ordinary": counts & 0xFFFFFFFF})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, pairs, hashes = {}, {}, Hashes()
         for batch in batches:
-            counts, docs = (Counter(), Counter()), (Counter(), Counter())
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                own = Counter(TOKEN.findall(text.lower()))
-                counts[toxic].update(own)
-                docs[toxic].update(own.keys())
-            found = list(docs[0] | docs[1])
-            columns = {"toxic": counts[1], "ordinary": counts[0], "toxic_docs": docs[1], "ordinary_docs": docs[0]}
-            yield pd.DataFrame({"word": found} | {name: [c[w] for w in found] for name, c in columns.items()})
+                one = 1 << 32 if toxic else 1
+                found = TOKEN.findall(text.lower())
+                coded = [START, *[hashes[w] for w in found]]
+                for word in set(found):
+                    words[word] = words.get(word, 0) + one
+                for pair in set(zip(coded, coded[1:])):
+                    pairs[pair] = pairs.get(pair, 0) + one
+                if len(words) + len(pairs) >= FLUSH:
+                    yield table(words, pairs)
+                    words, pairs = {}, {}
+        if words:
+            yield table(words, pairs)
+
+    parts = rows.select("text", "toxic").mapInPandas(run, "word string, first long, second long, toxic long, ordinary long")
+    return parts.groupBy("word", "first", "second").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def departures(rows: DataFrame, discount: float) -> DataFrame:
+    """Rows of ``toxic`` and ``ordinary`` counts that depart from the expected share by more than the discount.
+
+    ``toxic_all`` and ``ordinary_all`` hold what the class counts should be in proportion to. Added: ``toxic_part`` and
+    ``ordinary_part``, how many times the expected count the discounted one is.
+    """
+    n, whole = F.col("toxic") + F.col("ordinary"), F.col("toxic_all") + F.col("ordinary_all")
+
+    def part(name: str) -> Column:
+        expected = n * F.col(f"{name}_all") / whole
+        gap = F.col(name) - expected
+        kept = F.signum(gap) * F.greatest(F.abs(gap) - discount * F.sqrt(expected + 1), F.lit(0.0))
+        return ((expected + kept + 0.5) / (expected + 0.5)).alias(f"{name}_part")
+
+    # A gap is never larger than the count, and the discount never smaller than ``discount``.
+    rows = rows.where((n > discount) & (whole > 0))
+    return rows.select("*", part("toxic"), part("ordinary")).where((F.col("toxic_part") != 1) | (F.col("ordinary_part") != 1))
+
+
+def expression_table(rows: DataFrame, discount: float) -> DataFrame:
+    """Every expression whose class shares depart from the level below, with how far, written once."""
+    counts = shared_rows(count_expressions(rows))
+    words = counts.where(F.col("word").isNotNull())
+    totals = words.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("o")).first()
+    levels, below, length = [], None, 0
+    for prefix in PREFIXES:
+        key = F.substring("word", 1, prefix) if prefix else F.col("word")
+        own = words.groupBy(key.alias("key")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")) if prefix else words.select(
+            key.alias("key"), "toxic", "ordinary")
+        own = own.where(F.col("toxic") + F.col("ordinary") > discount)
+        if below is None:
+            own = own.select("*", F.lit(1.0).alias("t"), F.lit(1.0).alias("o"))
+        else:
+            own = own.withColumn("stem", F.substring("key", 1, length)).join(below, "stem", "left").select(
+                "key", "toxic", "ordinary", F.coalesce("t", F.lit(1.0)).alias("t"), F.coalesce("o", F.lit(1.0)).alias("o"))
+        own = own.select("*", (F.col("t") * float(totals["t"])).alias("toxic_all"), (F.col("o") * float(totals["o"])).alias("ordinary_all"))
+        found = shared_rows(departures(own, discount).select("key", "t", "o", "toxic_part", "ordinary_part"))
+        levels.append(found.select(F.lit(prefix).alias("level"), "key", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("second"),
+                                   "toxic_part", "ordinary_part"))
+        # A key's whole factor: its own, or that of the longest beginning that has one.
+        here = found.select("key", (F.col("t") * F.col("toxic_part")).alias("t"), (F.col("o") * F.col("ordinary_part")).alias("o"))
+        if below is not None:
+            reached = words.select((key if prefix else F.col("word")).alias("key")).distinct().withColumn("stem", F.substring("key", 1, length))
+            reached = reached.join(below, "stem").join(here.select("key"), "key", "left_anti").select("key", "t", "o")
+            here = here.unionByName(reached)
+        below, length = shared_rows(here).withColumnRenamed("key", "stem"), prefix
+    pairs = counts.where(F.col("word").isNull()).select("first", "second", "toxic", "ordinary")
+    contexts = pairs.groupBy("first").agg(F.sum("toxic").alias("first_toxic"), F.sum("ordinary").alias("first_ordinary")).where(
+        F.col("first_toxic") + F.col("first_ordinary") > discount)
+    often = pairs.where(F.col("toxic") + F.col("ordinary") > discount)
+    factors = below.select(F.xxhash64("stem").alias("second"), "t", "o").groupBy("second").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+    often = salted_lookup(salted_lookup(often, contexts, "first", "inner"), factors, "second")
+    often = often.select("first", "second", "toxic", "ordinary", (F.col("first_toxic") * F.coalesce("t", F.lit(1.0))).alias("toxic_all"),
+                         (F.col("first_ordinary") * F.coalesce("o", F.lit(1.0))).alias("ordinary_all"))
+    levels.append(departures(often, discount).select(F.lit(-1).alias("level"), F.lit(None).cast("string").alias("key"), "first", "second", "toxic_part", "ordinary_part"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return shared_rows(out.select("level", "key", "first", "second", F.log(F.col("toxic_part") / F.col("ordinary_part")).alias("gain")))
+
+
+class LocalTable:
+    """A small model's rows in the memory of a task."""
+
+    def __init__(self, rows: list):
+        self.parts = {prefix: {} for prefix in PREFIXES}
+        self.pairs: dict[int, dict[int, float]] = {}
+        for level, key, first, second, gain in rows:
+            if level < 0:
+                self.pairs.setdefault(first, {})[second] = gain
+            else:
+                self.parts[level][key] = gain
+        self.cache: dict[str, tuple[float, int]] = {}
+
+    def word(self, word: str) -> tuple[float, int]:
+        known = self.cache.get(word)
+        if known is None:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            gain = sum(table.get(word[:prefix] if prefix else word, 0.0) for prefix, table in self.parts.items())
+            known = self.cache[word] = (gain, word_hash(word))
+        return known
 
-    parts = rows.select("text", "toxic").mapInPandas(run, "word string, toxic long, ordinary long, toxic_docs long, ordinary_docs long")
-    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "toxic_docs", "ordinary_docs")])
+    def mean_ratio(self, text: str) -> float:
+        found = [self.word(w) for w in TOKEN.findall(text.lower())]
+        total, before = 0.0, START
+        for gain, code in found:
+            total += gain
+            follow = self.pairs.get(before)
+            if follow is not None:
+                total += follow.get(code, 0.0)
+            before = code
+        return total / len(found) if found else 0.0
 
 
-def level_counts(words: DataFrame, prefix: int) -> DataFrame:
-    """Counts of one level: occurrences of words, or in how many contexts (word and document) a beginning occurs."""
-    docs = (F.col("toxic_docs") + F.col("ordinary_docs")).alias("docs")
-    if not prefix:
-        return words.select(F.col("word").alias("key"), "toxic", "ordinary", docs)
-    rows = words.groupBy(F.substring("word", 1, prefix).alias("key")).agg(F.sum("toxic_docs").alias("toxic"), F.sum("ordinary_docs").alias("ordinary"))
-    return rows.withColumn("docs", F.col("toxic") + F.col("ordinary"))
+def text_expressions(text: str) -> tuple[int, dict[int, int]]:
+    """Number of words of a text, and how often it holds each expression, by the expression's hash."""
+    found, counts = TOKEN.findall(text.lower()), {}
+    before = START
+    for word in found:
+        code = word_hash(word)
+        keys = [xxhash.xxh64_intdigest(f"{p} {word[:p] if p else word}", 42) for p in PREFIXES] + [xxhash.xxh64_intdigest(f"-1 {before} {code}", 42)]
+        for key in keys:
+            key = key - (1 << 64) if key >> 63 else key
+            counts[key] = counts.get(key, 0) + 1
+        before = code
+    return len(found), counts
 
 
-def separating(counts: DataFrame, discount: float, min_documents: int, min_divergence: float, max_entries: int) -> dict[str, tuple[float, float]]:
-    """Of the keys that separate the classes, how many times the shared probability either class gives (toxic, ordinary).
+class BackoffModel:
+    """Log-likelihood ratio (toxic over ordinary) of texts, and the curve from a text's mean ratio to its score."""
 
-    Without the part that comes from the level below; the level's share of that part is under the key ``None``.
-    """
-    types = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    totals = counts.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"), (types("toxic") + types("ordinary")).alias("types")).first()
-    t, o = totals["t"] or 0, totals["o"] or 0
-    if not t or not o:
-        return {None: (1.0, 1.0)}
-    whole = t + o
-    n = F.col("toxic") + F.col("ordinary")
-    part = lambda c, total: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * (total / whole)))).otherwise(0.0)
-    rows = counts.where(F.col("docs") >= min_documents).withColumn("divergence", 2 * (part("toxic", t) + part("ordinary", o)))
-    rows = rows.where(F.col("divergence") >= min_divergence).orderBy(F.desc("divergence"), "key").limit(max_entries)
-    share = lambda c, total, n: max(c - discount, 0.0) / total / (n / whole)
-    out: dict = {r["key"]: (share(r["toxic"], t, r["toxic"] + r["ordinary"]), share(r["ordinary"], o, r["toxic"] + r["ordinary"]))
-                 for r in rows.select("key", "toxic", "ordinary").collect()}
-    back = min(1.0, discount * totals["types"] / whole)
-    out[None] = (back, back)
-    return out
+    def __init__(self, table: DataFrame, max_local: int = MAX_LOCAL):
+        self.table = table
+        rows = table.limit(max_local + 1).collect()
+        self.local = LocalTable([tuple(r) for r in rows]) if len(rows) <= max_local else None
+        self.shift, self.slope = 0.0, 0.0
 
+    def with_ratio(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """``rows`` and the column ``ratio``: the mean log-likelihood ratio of their texts."""
+        if self.local is not None:
+            local = self.local
 
-class BackoffModel:
-    """Log-likelihood ratio (toxic over ordinary) of words, and the curve from a text's mean ratio to its score."""
+            @F.pandas_udf("double")
+            def run(texts: pd.Series) -> pd.Series:
+                return pd.Series([local.mean_ratio(t) for t in texts], dtype=float)
 
-    def __init__(self, levels: list[tuple[int, dict]]):
-        self.levels = levels  # from the word down to the shortest beginning
-        self.shift, self.slope = 0.0, 0.0
-        self.cache: dict[str, float] = {}
+            return rows.withColumn("ratio", run(plain_text(F.col(text))))
 
-    def word_ratio(self, word: str) -> float:
-        toxic = ordinary = 1.0  # times the shared probability
-        for prefix, table in reversed(self.levels):
-            own = table.get(word[:prefix] if prefix else word)
-            if own is not None:
-                back = table[None][0]
-                toxic, ordinary = own[0] + back * toxic, own[1] + back * ordinary
-        return math.log(max(toxic, 1e-12) / max(ordinary, 1e-12))
+        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row, value in zip(batch["row"], batch["text"]):
+                    n, counts = text_expressions(value)
+                    if n:
+                        yield pd.DataFrame({"row": row, "code": list(counts), "share": [c / n for c in counts.values()]})
+
+        kept = shared_rows(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("kept"), plain_text(F.col(text)).alias("text")).withColumn(
+            "row", F.monotonically_increasing_id()))
+        held = kept.select("row", "text").mapInPandas(emit, "row long, code long, share double")
+        name = F.when(F.col("level") < 0, F.concat_ws(" ", F.col("first").cast("string"), F.col("second").cast("string"))).otherwise(F.col("key"))
+        table = self.table.select(F.xxhash64(F.concat_ws(" ", F.col("level").cast("string"), name)).alias("code"), "gain").groupBy("code").agg(F.sum("gain").alias("gain"))
+        ratios = salted_lookup(held, table, "code", "inner").groupBy("row").agg(F.sum(F.col("share") * F.col("gain")).alias("ratio"))
+        return kept.join(ratios, "row", "left").select("kept.*", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
     def mean_ratio(self, text: str) -> float:
-        found, cache, total = TOKEN.findall(text.lower()), self.cache, 0.0
-        for word in found:
-            ratio = cache.get(word)
-            if ratio is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                ratio = cache[word] = self.word_ratio(word)
-            total += ratio
-        return total / len(found) if found else 0.0
+        if self.local is not None:
+            return self.local.mean_ratio(text)
+        return self.with_ratio(self.table.sparkSession.createDataFrame([(text,)], "text string")).first()["ratio"]
+
+    def word_ratio(self, word: str) -> float:
+        """Ratio of a word whatever stands before it."""
+        return self.local.word(word)[0] if self.local is not None else self.mean_ratio(word)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> "BackoffModel":
         """Fit the curve by Newton steps; a small penalty keeps the slope finite where the classes separate."""
@@ -149,37 +277,19 @@ class BackoffModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = HOLD_OUT, held: int = HELD, max_rows: int = MAX_ROWS,
-          max_entries: int = MAX_ENTRIES, min_documents: int = MIN_DOCUMENTS, min_divergence: float = MIN_DIVERGENCE) -> BackoffModel:
-    rows = training_rows(docs, labels, label, parts, held)
-    words = shared_rows(count_words(rows))
-    model = BackoffModel([(k, separating(level_counts(words, k), DISCOUNT, min_documents, min_divergence, max_entries)) for k in PREFIXES])
+          discount: float = DISCOUNT, max_local: int = MAX_LOCAL) -> BackoffModel:
+    model = BackoffModel(expression_table(training_rows(docs, labels, label, parts, held), discount), max_local)
     marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("mark")).where(F.col("mark").isNotNull() & (fold(F.col("id"), parts) != held))
     marks = marks.orderBy(F.xxhash64("id"), "id", "mark").limit(max_rows)
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(marks), "id").select(
-        (F.col("mark") > 0).cast("double").alias("y"), mean_ratio(F.col("text"), model).alias("x")).collect()
-    pairs = np.array(sorted((r["x"], r["y"]) for r in sample), float).reshape(-1, 2)
+    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(marks), "id").select((F.col("mark") > 0).cast("double").alias("y"), "text")
+    pairs = np.array(sorted((r["ratio"], r["y"]) for r in model.with_ratio(sample).select("ratio", "y").collect()), float).reshape(-1, 2)
     return model.calibrate(pairs[:, 0], pairs[:, 1])
 
 
-def mean_ratio(text: Column, model: BackoffModel) -> Column:
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.mean_ratio(t) for t in texts], dtype=float)
-
-    return run(plain_text(text))
-
-
-def toxicity_score(text: Column, model: BackoffModel) -> Column:
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([model.mean_ratio(t) for t in texts], float)))
-
-    return run(plain_text(text))
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
     model = train(docs, labels, **options)
-    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), HOLD_OUT) == HELD, F.lit(False)).alias("held_out"),
-                       toxicity_score(F.col("text"), model).alias("score"))
+    curve = F.greatest(F.least(model.shift + model.slope * F.col("ratio"), F.lit(40.0)), F.lit(-40.0))
+    rows = model.with_ratio(docs.select("doc_id", "text")).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), HOLD_OUT) == HELD, F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-curve))).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

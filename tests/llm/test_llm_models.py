@@ -80,3 +80,55 @@ def test_toxic_words_behind_new_endings_are_recognised(spark):
     model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
     assert model.word_ratio("scumlikenever") > 1.0 and abs(model.word_ratio("neverseen")) < 1e-9
     assert model.score(np.array([model.mean_ratio("scumlikenever w1 w2 w3"), model.mean_ratio("w1 w2 w3"), model.mean_ratio("")]))[0] > 0.7
+
+
+def test_toxic_word_order_is_seen(spark):
+    """The same two words in another order: only what stands before a word tells the classes apart."""
+    docs = [(k, f"{messy.prose(k, 12)} {'blue house' if k % 2 else 'house blue'} {messy.prose(k + 5000, 12)}") for k in range(1200)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    scored = toxicity.score_documents(frame, labels)
+    _, predicted, label = held_out(scored, labels, "toxic")
+    assert predicted[label == 1].mean() > 0.95 and predicted[label == 0].mean() < 0.05
+    joined = {r["doc_id"]: r["score"] for r in toxicity.score_documents(frame, labels, max_local=0).collect()}
+    assert joined == pytest.approx({r["doc_id"]: r["score"] for r in scored.collect()}, abs=1e-9)
+
+
+def test_toxicity_tables_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    docs = [(k, " ".join([f"{'vile' if k % 3 == 0 else 'kind'}{rng.integers(5)}", "trapeze" if k % 3 == 0 else "trapdoor", *(("red", "door") if k % 3 == 0 else ("door", "red"))] + [f"w{x}" for x in rng.integers(0, 30, 12)])) for k in range(400)]
+    frame = spark.createDataFrame([(k, t, int(k % 3 == 0)) for k, t in docs], "id long, text string, toxic int")
+    got = {(r["level"], r["key"] or (r["first"], r["second"])): r["gain"] for r in toxicity.expression_table(frame, 2.0).collect()}
+
+    counts = {level: {} for level in (4, 5, 6, 0, -1)}
+    for k, text in docs:
+        found = text.split()
+        for w in set(found):
+            for p in (4, 5, 6, 0):
+                counts[p].setdefault(w[:p] if p else w, [0, 0])[k % 3 == 0] += 1
+        for pair in set(zip([None, *found], found)):
+            counts[-1].setdefault(pair, [0, 0])[k % 3 == 0] += 1
+    factor, want = {}, {}
+
+    def gains(level, key, whole):
+        own, parts = counts[level][key], []
+        for c in (0, 1):
+            expected = sum(own) * whole[c] / sum(whole)
+            gap = own[c] - expected
+            parts.append((expected + np.sign(gap) * max(abs(gap) - 2.0 * np.sqrt(expected + 1), 0) + 0.5) / (expected + 0.5))
+        return parts
+
+    totals = [sum(x[c] for x in counts[0].values()) for c in (0, 1)]
+    for n, p in enumerate((4, 5, 6, 0)):
+        for key in counts[p]:
+            below = factor[(4, 5, 6)[n - 1], key[:(4, 5, 6)[n - 1]]] if n else (1.0, 1.0)
+            parts = gains(p, key, [totals[c] * below[c] for c in (0, 1)])
+            factor[p, key] = [below[c] * parts[c] for c in (0, 1)]
+            if parts != [1.0, 1.0]:
+                want[p, key] = np.log(parts[1] / parts[0])
+    for first, second in counts[-1]:
+        context = [sum(x[c] for (a, _), x in counts[-1].items() if a == first) for c in (0, 1)]
+        parts = gains(-1, (first, second), [context[c] * factor[0, second][c] for c in (0, 1)])
+        if parts != [1.0, 1.0]:
+            want[-1, (toxicity.word_hash(first) if first else toxicity.START, toxicity.word_hash(second))] = np.log(parts[1] / parts[0])
+    assert len(want) >= 8 and {level for level, _ in want} >= {4, 5, -1} and got == pytest.approx(want)
