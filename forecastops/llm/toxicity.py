@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecastops.llm.common import TOKEN, fold, plain_text, salted_lookup, shared_rows
+from forecastops.operators.joins import is_small
 
 HOLD_OUT, HELD = 3, 1
 THRESHOLD = 0.7
@@ -39,8 +40,7 @@ DISCOUNT = 3.0
 MAX_LOCAL = 200_000
 MAX_ROWS = 20_000
 PREFIXES = (4, 5, 6, 0)  # 0: the word itself
-START = 0  # stands before the first word of a text
-FLUSH = 300_000
+FLUSH = 1_000_000
 CACHE_WORDS = 500_000
 
 
@@ -64,12 +64,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, he
     """``id``, ``text`` and ``toxic`` (0/1) of the labelled documents outside the held-out fold."""
     marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("mark")).where(F.col("mark").isNotNull() & (fold(F.col("id"), parts) != held))
     rows = docs.select(F.col("doc_id").alias("id"), plain_text(F.col("text")).alias("text")).where(fold(F.col("id"), parts) != held)
-    # Shuffled at every size: labels grow with the documents, so they are never broadcast.
-    return rows.join(marks.hint("merge"), "id").select("id", "text", (F.col("mark") > 0).cast("int").alias("toxic"))
+    # Few labels are broadcast, so that texts stay where they are read; more are shuffled.
+    return rows.join(F.broadcast(marks) if is_small(marks) else marks.hint("merge"), "id").select("id", "text", (F.col("mark") > 0).cast("int").alias("toxic"))
 
 
 def count_expressions(rows: DataFrame) -> DataFrame:
-    """Documents of either class with each word (``word``) and each word pair (``first``, ``second``; ``word`` null).
+    """Documents of either class with each word (``word``; ``first`` and ``second`` 0) and each word pair (``word`` null).
 
     Counts are summed within tasks first, a bounded number of expressions at a time.
     """
@@ -86,7 +86,7 @@ def count_expressions(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 one = 1 << 32 if toxic else 1
                 found = TOKEN.findall(text.lower())
-                coded = [START, *[hashes[w] for w in found]]
+                coded = [hashes[w] for w in found]
                 for word in set(found):
                     words[word] = words.get(word, 0) + one
                 for pair in set(zip(coded, coded[1:])):
@@ -122,7 +122,8 @@ def departures(rows: DataFrame, discount: float) -> DataFrame:
 
 def expression_table(rows: DataFrame, discount: float) -> DataFrame:
     """Every expression whose class shares depart from the level below, with how far, written once."""
-    counts = shared_rows(count_expressions(rows))
+    # Pairs in no more documents than the discount cannot depart: they are counted, but not written.
+    counts = shared_rows(count_expressions(rows).where(F.col("word").isNotNull() | (F.col("toxic") + F.col("ordinary") > discount)))
     words = counts.where(F.col("word").isNotNull())
     totals = words.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("o")).first()
     levels, below, length = [], None, 0
@@ -143,15 +144,16 @@ def expression_table(rows: DataFrame, discount: float) -> DataFrame:
         # A key's whole factor: its own, or that of the longest beginning that has one.
         here = found.select("key", (F.col("t") * F.col("toxic_part")).alias("t"), (F.col("o") * F.col("ordinary_part")).alias("o"))
         if below is not None:
-            reached = words.select((key if prefix else F.col("word")).alias("key")).distinct().withColumn("stem", F.substring("key", 1, length))
-            reached = reached.join(below, "stem").join(here.select("key"), "key", "left_anti").select("key", "t", "o")
+            reached = words.select(key.alias("key"), F.substring(key, 1, length).alias("stem")).join(below, "stem").select("key", "t", "o").distinct()
+            reached = reached.join(here.select("key"), "key", "left_anti")
             here = here.unionByName(reached)
         below, length = shared_rows(here).withColumnRenamed("key", "stem"), prefix
-    pairs = counts.where(F.col("word").isNull()).select("first", "second", "toxic", "ordinary")
-    contexts = pairs.groupBy("first").agg(F.sum("toxic").alias("first_toxic"), F.sum("ordinary").alias("first_ordinary")).where(
-        F.col("first_toxic") + F.col("first_ordinary") > discount)
-    often = pairs.where(F.col("toxic") + F.col("ordinary") > discount)
-    factors = below.select(F.xxhash64("stem").alias("second"), "t", "o").groupBy("second").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+    often = counts.where(F.col("word").isNull()).select("first", "second", "toxic", "ordinary")
+    # The class shares of a pair go by the documents that hold its first word.
+    contexts = words.select(F.xxhash64("word").alias("first"), F.col("toxic").alias("first_toxic"), F.col("ordinary").alias("first_ordinary")).groupBy("first").agg(
+        F.sum("first_toxic").alias("first_toxic"), F.sum("first_ordinary").alias("first_ordinary")).join(often.select("first").distinct(), "first", "left_semi")
+    factors = below.select(F.xxhash64("stem").alias("second"), "t", "o").groupBy("second").agg(F.max("t").alias("t"), F.max("o").alias("o")).join(
+        often.select("second").distinct(), "second", "left_semi")
     often = salted_lookup(salted_lookup(often, contexts, "first", "inner"), factors, "second")
     often = often.select("first", "second", "toxic", "ordinary", (F.col("first_toxic") * F.coalesce("t", F.lit(1.0))).alias("toxic_all"),
                          (F.col("first_ordinary") * F.coalesce("o", F.lit(1.0))).alias("ordinary_all"))
@@ -162,10 +164,11 @@ def expression_table(rows: DataFrame, discount: float) -> DataFrame:
     return shared_rows(out.select("level", "key", "first", "second", F.log(F.col("toxic_part") / F.col("ordinary_part")).alias("gain")))
 
 
-class LocalTable:
-    """A small model's rows in the memory of a task."""
+class LocalTable(dict):
+    """A small model's rows in the memory of a task: gain, hash and gains of following words of each word met."""
 
     def __init__(self, rows: list):
+        super().__init__()
         self.parts = {prefix: {} for prefix in PREFIXES}
         self.pairs: dict[int, dict[int, float]] = {}
         for level, key, first, second, gain in rows:
@@ -173,36 +176,40 @@ class LocalTable:
                 self.pairs.setdefault(first, {})[second] = gain
             else:
                 self.parts[level][key] = gain
-        self.cache: dict[str, tuple[float, int]] = {}
-
-    def word(self, word: str) -> tuple[float, int]:
-        known = self.cache.get(word)
-        if known is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            gain = sum(table.get(word[:prefix] if prefix else word, 0.0) for prefix, table in self.parts.items())
-            known = self.cache[word] = (gain, word_hash(word))
+
+    def __reduce__(self):
+        return LocalTable, ([(-1, None, a, b, gain) for a, after in self.pairs.items() for b, gain in after.items()]
+                            + [(level, key, None, None, gain) for level, table in self.parts.items() for key, gain in table.items()],)
+
+    def __missing__(self, word: str) -> tuple[float, int, dict | None]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        gain = sum(table.get(word[:prefix] if prefix else word, 0.0) for prefix, table in self.parts.items())
+        code = word_hash(word)
+        known = self[word] = (gain, code, self.pairs.get(code))
         return known
 
     def mean_ratio(self, text: str) -> float:
-        found = [self.word(w) for w in TOKEN.findall(text.lower())]
-        total, before = 0.0, START
-        for gain, code in found:
+        found = TOKEN.findall(text.lower())
+        total, after = 0.0, None
+        for word in found:
+            gain, code, follow = self[word]
             total += gain
-            follow = self.pairs.get(before)
-            if follow is not None:
-                total += follow.get(code, 0.0)
-            before = code
+            if after is not None:
+                total += after.get(code, 0.0)
+            after = follow
         return total / len(found) if found else 0.0
 
 
 def text_expressions(text: str) -> tuple[int, dict[int, int]]:
     """Number of words of a text, and how often it holds each expression, by the expression's hash."""
     found, counts = TOKEN.findall(text.lower()), {}
-    before = START
+    before = None
     for word in found:
         code = word_hash(word)
-        keys = [xxhash.xxh64_intdigest(f"{p} {word[:p] if p else word}", 42) for p in PREFIXES] + [xxhash.xxh64_intdigest(f"-1 {before} {code}", 42)]
+        keys = [xxhash.xxh64_intdigest(f"{p} {word[:p] if p else word}", 42) for p in PREFIXES]
+        if before is not None:
+            keys.append(xxhash.xxh64_intdigest(f"-1 {before} {code}", 42))
         for key in keys:
             key = key - (1 << 64) if key >> 63 else key
             counts[key] = counts.get(key, 0) + 1
@@ -252,7 +259,7 @@ class BackoffModel:
 
     def word_ratio(self, word: str) -> float:
         """Ratio of a word whatever stands before it."""
-        return self.local.word(word)[0] if self.local is not None else self.mean_ratio(word)
+        return self.local[word][0] if self.local is not None else self.mean_ratio(word)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> "BackoffModel":
         """Fit the curve by Newton steps; a small penalty keeps the slope finite where the classes separate."""
