@@ -92,7 +92,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_divergence_rules")
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence_rules.judge(read(spark, sf_dir, "documents"))
+    return divergence_rules.judge(read(spark, sf_dir, "documents"), max_languages=None, pool_unknown=True)
 
 
 @_query("op6_simhash")

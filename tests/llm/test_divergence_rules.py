@@ -52,3 +52,35 @@ def test_more_languages_than_the_limit_and_empty(spark):
     got = d.judge(docs, max_languages=2).collect()
     assert len(got) == 70 and all(r["word_distance"] is not None for r in got)
     assert d.judge(messy.empty(spark)).count() == 0
+
+
+def test_unknown_and_rare_languages_are_compared_with_all_documents(spark):
+    clean = [(k, messy.prose(k, 100, 60), ["en", "de"][k % 2]) for k in range(60)]
+    junk = "#$% ### |<> $$$ *** &&& %%% <<< >>> |||"
+    odd = [(150 + k, " ".join(f"{junk}{k}{j} {messy.prose(k * 9 + j, 12, 400)}" for j in range(8)), None) for k in range(4)]
+    rare = [(170, odd[0][1] + " ###7", "xx"), (71, messy.prose(71, 100, 60), "yy"), (72, messy.prose(72, 100, 60), None), (73, messy.prose(73, 100, 60), "")]
+    docs = clean + odd + rare
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in d.judge(frame, common=5, max_languages=None, pool_unknown=True, min_reference_words=500).collect()}
+    hist = lambda words, common: [words.count(c) for c in common] + [sum(w not in common for w in words)]
+
+    def top(rows):
+        frequency = Counter(w for t in rows for w in set(t.split()))
+        return [w for w, _ in sorted(frequency.items(), key=lambda x: (-x[1], x[0]))[:5]]
+
+    for i, t, lang in docs:
+        own = [u for _, u, other in docs if lang not in ("en", "de") or other == lang]
+        common = top(own)
+        good = [u for j, u, other in docs if (lang not in ("en", "de") or other == lang) and not got[j]["base_failed"]]
+        reference = [sum(x) for x in zip(*[hist(u.split(), common) for u in good])]
+        assert got[i]["word_distance"] == pytest.approx(distance(hist(t.split(), common), reference), abs=1e-9), i
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i, *_ in odd) and not got[170]["kept"]
+    assert got[71]["kept"] and got[72]["kept"] and got[73]["kept"]
+
+
+def test_pooled_reference_of_awkward_rows(spark):
+    got = d.judge(messy.documents(spark), pool_unknown=True, max_languages=None).collect()
+    assert len(got) == len(messy.rows())
+    assert d.judge(messy.empty(spark), pool_unknown=True, max_languages=None).count() == 0
+    blank = spark.createDataFrame([(1, None, None), (2, " ", "en")], "doc_id long, text string, lang string")
+    assert [r["kept"] for r in d.judge(blank, pool_unknown=True).collect()] == [False, False]
