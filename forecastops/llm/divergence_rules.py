@@ -77,16 +77,10 @@ def common_words(rows: DataFrame, common: int, max_languages: int | None) -> Dat
     return top.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("ranks"))
 
 
-def pooled_ranks(ranks: DataFrame, common: int) -> tuple[DataFrame, list[str]]:
-    """``ranks`` with the common words of all documents added, and these words in their order (at most ``common``).
-
-    Those that a language does not list itself have the ranks from ``common + 1`` on.
-    """
+def pooled_words(ranks: DataFrame) -> list[str]:
+    """The common words of all documents in their order (as many as are listed for a language, so few)."""
     row = ranks.where(F.col("lang") == ALL_LANGUAGES).first()
-    pool = sorted(row["ranks"], key=row["ranks"].get) if row else []
-    added = F.map_from_arrays(F.array(*map(F.lit, pool)).cast("array<string>"), F.array(*[F.lit(common + k + 1) for k in range(len(pool))]).cast("array<int>"))
-    missing = F.map_filter(added, lambda w, _: ~F.map_contains_key("ranks", w))
-    return ranks.select("lang", F.map_concat("ranks", missing).alias("ranks")), pool
+    return sorted(row["ranks"], key=row["ranks"].get) if row else []
 
 
 def statistics(rows: DataFrame, ranks: DataFrame, common: int, pool: list[str] | None = None) -> DataFrame:
@@ -96,23 +90,32 @@ def statistics(rows: DataFrame, ranks: DataFrame, common: int, pool: list[str] |
     """
     rows = by_language(rows, ranks.select("lang", F.col("lang").alias("known"))).select(
         "doc_id", F.coalesce("known", F.lit(ALL_LANGUAGES)).alias("lang"), "text")
-    rows = by_language(rows, ranks)
+    # One character for each rank: counting a character of a short string is much cheaper than counting array elements.
+    marks = F.array(*[F.lit(chr(48 + k)) for k in range(common)])
+    rows = by_language(rows, ranks.select("lang", F.transform_values("ranks", lambda _, r: F.get(marks, r - 1)).alias("marks")))
     rows = rows.withColumn("__words", words(F.col("text")))
-    listed = common if pool is None else 2 * common
     rows = rows.withColumn("__lines", F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    rows = rows.withColumn("__found", F.array_compact(F.transform("__words", lambda w: F.col("ranks")[w])))
+    rows = rows.withColumn("__found", F.array_join(F.transform("__words", lambda w: F.col("marks")[w]), ""))
+    if pool:
+        # Looked up in a hash set first: few words are listed.
+        place = F.create_map(*[F.lit(x) for k, w in enumerate(pool) for x in (w, chr(48 + k))])
+        rows = rows.withColumn("__pooled", F.array_join(F.transform(F.filter("__words", lambda w: w.isin(pool)), lambda w: place[w]), ""))
     # What is neither a lower-case letter, a letter without case nor a blank: short for prose, and counted by class.
     rows = rows.withColumn("__rest", F.regexp_replace("text", r"[\p{Ll}\p{Lo}\s]+", ""))
     for name, column in repeated_words("__words"):
         rows = rows.withColumn(name, column)
     only = lambda keep: F.length(F.regexp_replace("__rest", f"[^{keep}]+", "")).cast("long")
+
+    def counted(found: str, of: Column) -> Column:
+        return F.transform(of, lambda c: (F.length(found) - F.length(F.replace(F.col(found), c, F.lit("")))).cast("long"))
+
     rows = rows.select(
         "doc_id", "lang", F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), F.length("text").cast("long").alias("__chars"),
         (F.length("__rest") - F.length(F.regexp_replace("__rest", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.transform(F.sequence(F.lit(1), F.lit(listed)), lambda j: (F.size("__found") - F.size(F.array_remove("__found", j))).cast("long")).alias("__listed"),
-        F.array(*[F.coalesce(F.col("ranks")[w], F.lit(common + k + 1)) for k, w in enumerate(pool or [])]).cast("array<int>").alias("__places"),
+        counted("__found", marks).alias("__listed"),
+        (counted("__pooled", F.slice(marks, 1, len(pool))) if pool else F.array().cast("array<bigint>")).alias("__pool"),
         only(r"\p{Lu}").alias("__upper"), only(r"\p{N}").alias("__digit"), only(r"\p{P}").alias("__mark"), F.length("__rest").cast("long").alias("__other"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     classes = [F.col("word_chars") - F.col("__other"), F.col("__upper"), F.col("__digit"), F.col("__mark"),
@@ -122,9 +125,9 @@ def statistics(rows: DataFrame, ranks: DataFrame, common: int, pool: list[str] |
         return F.concat(counts, F.array(F.col("n_words") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)))
 
     out = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-           failed.alias("base_failed"), F.array(*classes).alias("classes"), with_others(F.slice("__listed", 1, common)).alias("hits")]
+           failed.alias("base_failed"), F.array(*classes).alias("classes"), with_others(F.col("__listed")).alias("hits")]
     if pool is not None:
-        out.append(with_others(F.transform("__places", lambda j: F.get(F.col("__listed"), j - 1))).alias("pool_hits"))
+        out.append(with_others(F.col("__pool")).alias("pool_hits"))
     return rows.select(*out)
 
 
@@ -191,9 +194,7 @@ def judge(docs: DataFrame, common: int = 20, max_languages: int | None = 1000, m
     """
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit(ALL_LANGUAGES)).alias("lang"), plain_text(F.col("text")).alias("text"))
     ranks = shared_rows(common_words(rows, common, max_languages))
-    pool = None
-    if pool_unknown:
-        ranks, pool = pooled_ranks(ranks, common)
+    pool = pooled_words(ranks) if pool_unknown else None
     joined = with_references(shared_rows(statistics(rows, ranks, common, pool)), common, pool, min_reference_words)
     joined = joined.withColumn("class_distance", jensen_shannon("classes", "ref_classes")).withColumn(
         "word_distance", jensen_shannon("hits", "ref_hits"))
