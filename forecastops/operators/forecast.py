@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecastops.functions import clip, keyed_normal
+from forecastops.functions import clip, keyed_normal, nan_to_null
 from forecastops.operators.joins import small_side
 from forecastops.operators.quantiles import small_group_quantiles
 from forecastops.session import cut_lineage, path_exists, scratch_path
@@ -148,9 +148,9 @@ def solve_moments(moments: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def tree_vector(df: DataFrame, features: Sequence[str], name: str = "__x") -> DataFrame:
-    """Feature vector for tree models with missing values set to one level."""
+    """Feature vector for tree models with missing values (NULL or NaN) set to one level."""
     cols = [f"__f{i}" for i in range(len(features))]
-    df = df.withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(MISSING_LEVEL)) for n, c in zip(cols, features)})
+    df = df.withColumns({n: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(MISSING_LEVEL)) for n, c in zip(cols, features)})
     return VectorAssembler(inputCols=cols, outputCol=name).transform(df).drop(*cols)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from forecastops.functions import row_total
 from forecastops.operators.aggregates import mean_by
-from forecastops.operators.forecast import PARALLEL_FITS
+from forecastops.operators.forecast import PARALLEL_FITS, tree_vector
 from forecastops.operators.quantiles import exact_quantiles, small_group_quantiles
 
 LEVELS = ("Free", "Moderate", "Peak")
@@ -123,9 +123,11 @@ def high_traffic(df: DataFrame, cols: Sequence[str], share: float = 0.75, total:
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42):
-    """Random forest on ``features``; returns a function that scores a table."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip")
-    rows = assembler.transform(train).select("__x", F.col(label).cast("double").alias("__y")).persist()
+    """Random forest on ``features``; returns a function that scores a table.
+
+    Rows with missing features are fitted and scored too, as those of boosted trees: a column may have no value at all.
+    """
+    rows = tree_vector(train, features).select("__x", F.col(label).cast("double").alias("__y")).persist()
     try:
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="__x", labelCol="__y",
                                        predictionCol="__p").fit(rows)
@@ -133,7 +135,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, trees: int
         rows.unpersist()
 
     def score(df: DataFrame, name: str = "prediction") -> DataFrame:
-        scored = model.transform(assembler.transform(df))
+        scored = model.transform(tree_vector(df, features))
         return scored.withColumn(name, F.col("__p").cast("int")).drop(
             "__x", "__p", model.getRawPredictionCol(), model.getProbabilityCol())
 

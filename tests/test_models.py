@@ -295,3 +295,30 @@ def test_a_search_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, fc.series_errors(rows, ["a"], "y", "position", 2, grid, folder=folder).collect())) == first
     with pytest.raises(pytest.fail.Exception):
         fc.series_errors(rows, ["a"], "y", "position", 2, fc.param_grid(n_estimators=[3], max_depth=[1]), folder=folder)
+
+
+def test_forest_fits_and_scores_rows_with_missing_features(spark):
+    # The label is whether x is missing, NULL or NaN; w has no value at all.
+    x = [None, float("nan"), 0.0, 1.0, -5.0, 3.0]
+    rows = spark.createDataFrame([(k, x[k % 6], None, int(k % 6 < 2)) for k in range(60)], "k int, x double, w double, y int")
+    got = seg.fit_forest(rows, ["x", "w"], "y", trees=5)(rows).collect()
+    assert len(got) == 60 and all(r.prediction == r.y for r in got)
+
+
+def segments_without_snow(spark, stratified):
+    """Months whose w2 is zero throughout, so that imputation finds no value for it."""
+    rows = [(y, m, float(100 + 10 * m + y % 3), float(900 - 5 * m), float(m), 0.0) for y in range(1995, 2000) for m in range(1, 13)]
+    history = pl.prepare_series(spark.createDataFrame(rows, "year int, month int, s1 double, s2 double, w1 double, w2 double"), ["s1", "s2"], WEATHER)
+    assert history.where("w2 IS NOT NULL").isEmpty()
+    return pl.segment_and_classify(history, ["s1", "s2"], WEATHER, ["year", "month"], stratified=stratified, trees=5)
+
+
+def check_whole(out):
+    assert (out.train.count(), out.test.count()) == (48, 12)
+    assert {r["class"]: r for r in out.report.collect()}["macro avg"].support == 12
+    larger = max(r["count"] for r in out.train.groupBy("high_traffic").count().collect())
+    assert out.train.where("prediction = high_traffic").count() > larger
+
+
+def test_segments_of_weather_without_a_value(spark):
+    check_whole(segments_without_snow(spark, False))
