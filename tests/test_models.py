@@ -322,3 +322,9 @@ def check_whole(out):
 
 def test_segments_of_weather_without_a_value(spark):
     check_whole(segments_without_snow(spark, False))
+
+
+def test_stratified_segments_of_weather_without_a_value(spark):
+    out = segments_without_snow(spark, True)
+    check_whole(out)
+    assert sorted(map(tuple, out.test.groupBy("high_traffic").count().collect())) == [(0, 9), (1, 3)]
